@@ -1,10 +1,11 @@
 """Encoding with the ``tokenizers`` library, a call for each new word instead of each text.
 
 The two byte-level BPE vocabularies in use split a text before each space that follows another
-character than white space, and at each line end between others; pieces between such points
-encode alike wherever they stand. Ids of pieces are kept, up to ``KEEP`` of them for a Python
-worker. Texts for which the split is not certain (runs of white space, unusual white space or
-spellings of special tokens) are encoded whole.
+character than white space, and at each line end between others; the words between such points
+encode alike wherever they stand. Arrow splits the texts and numbers their distinct words; ids of
+words are kept, up to ``KEEP`` of them for a Python worker, and gathered into the ids of texts.
+Texts for which the split is not certain (runs of white space, unusual white space or spellings
+of special tokens) are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEEP = 800_000
 #: white space other than the space and the line end, and combinations of those, and the start of special tokens
 _ASCII_ODD = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_ODD = ("\x85", "\xa0", " ", "᠎", *map(chr, range(0x2000, 0x2010)), " ", " ", " ", " ", "　", "﻿")
+_ODD = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 16-bit numbers."""
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -32,86 +33,94 @@ class Encoder:
             raise ValueError("ids must be below 65,536")
         self.model = self.tokenizer.model
         self.folds = self.tokenizer.normalizer is not None  # folds case and drops white space
-        self.marks = {m: self.whole([m])[0] for m in ".,"}
-        self.end = b"" if self.folds else self.whole(["\n"])[0]
-        self.kept: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.letters = str.maketrans({chr(b): c for b, c in zip(range(256), _byte_letters(), strict=True)})
+        self.marks = {m: self.whole([m])[0].tobytes() for m in ".,"}
+        self.end = b"" if self.folds else self.whole(["\n"])[0].tobytes()
+        self.kept: dict[str, bytes] = {}  # ids of words after a space
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [_pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, pieces: list[str], before: str) -> list[bytes]:
-        """Ids of pieces, each after ``before``. One run of letters is one word of the model in both vocabularies."""
+    def _new(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words, each after ``before``. One run of letters is one word of the model in both vocabularies."""
         tokenize, letters, folds, mark = self.model.tokenize, self.letters, self.folds, before.translate(self.letters)
         flat, ends, rest = [], [0], []
-        for at, p in enumerate(pieces):
+        for at, p in enumerate(words):
             if p.isascii() and p.isalpha():
                 flat += [t.id for t in tokenize(p.lower() if folds else mark + p)]
-            elif p.isalpha() and max(p) < "\u0250" and "\u0130" not in p and (not folds or unicodedata.is_normalized("NFC", p)):
+            elif p.isalpha() and max(p) < "ɐ" and "İ" not in p and (not folds or unicodedata.is_normalized("NFC", p)):
                 flat += [t.id for t in tokenize((p.lower() if folds else before + p).encode().decode("latin-1").translate(letters))]
             else:
                 rest.append(at)
             ends.append(len(flat))
-        packed = _pack(flat)
+        packed = np.array(flat, "<u2").tobytes()
         out = [packed[2 * a : 2 * b] for a, b in zip(ends, ends[1:])]  # noqa: B905
-        for at, ids in zip(rest, self.whole([before + pieces[i] for i in rest]), strict=True):
-            out[at] = ids
+        for at, ids in zip(rest, self.whole([before + words[i] for i in rest]), strict=True):
+            out[at] = ids.tobytes()
         return out
 
-    def _ids(self, pieces: list[list[str]], kept: dict[str, bytes], before: str) -> dict[str, bytes]:
-        """Ids of all pieces: those of sentence ends are put together from the word's and the mark's."""
-        new = set().union(*pieces).difference(kept)
+    def _ids(self, words: list[str], kept: dict[str, bytes], before: str) -> list[bytes]:
+        """Ids of distinct words: those at the end of sentences are put together from the word's and the mark's."""
+        found = [kept.get(w) for w in words]
+        new = [w for w, f in zip(words, found, strict=True) if f is None]
         if not new:
-            return kept
-        ended = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        need = new.difference(ended).union([p[:-1] for p in ended])
-        todo = list(need.difference(kept))
+            return found
+        ended = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        stems = [w[:-1] for w in ended]
+        todo = list(set(new).difference(ended).union(s for s in stems if s not in kept))
         own = dict(zip(todo, self._new(todo, before), strict=True))
-        for p in ended:
-            s = p[:-1]
-            own[p] = (own[s] if s in own else kept[s]) + self.marks[p[-1]]
+        for w, s in zip(ended, stems, strict=True):
+            own[w] = (own[s] if s in own else kept[s]) + self.marks[w[-1]]
         if len(kept) + len(own) <= KEEP:
             kept.update(own)
-            return kept
-        return _Both(kept, own)
+        return [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Give a few MB at a time."""
-        out: list[bytes] = [b""] * len(texts)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian unsigned 16-bit numbers. Give a few MB at a time."""
+        out: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
         odd = [i for i, t in enumerate(texts) if any(x in t for x in _ASCII_ODD) or not t.isascii() and any(x in t for x in _ODD)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        certain = sorted(set(range(len(texts))) - set(odd))
-        space = "" if self.folds else " "
-        lines = [[x.split(" ") for x in texts[i].split("\n")] for i in certain]
-        first = self._ids([[x[0] for x in t] for t in lines], self.first, "")
-        rest = self._ids([x[1:] for t in lines for x in t], self.kept, space).__getitem__
-        for i, t in zip(certain, lines, strict=True):
-            out[i] = self.end.join([b"".join([first[x[0]], *map(rest, x[1:])]) for x in t])
+        certain = sorted(set(range(len(texts))).difference(odd))
+        if not certain:
+            return out
+        column = pa.array([texts[i] for i in certain], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " " if self.folds else " \n "), " ")
+        ptr = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if self.folds:
+            ids = self._ids(words, self.kept, "")
+        else:
+            breaks = code == (words.index("\n") if "\n" in words else -1)
+            first = np.zeros(len(code), bool)  # words without a space before them
+            first[ptr[:-1]] = True
+            first[1:] |= breaks[:-1]
+            at = np.flatnonzero(first & ~breaks)
+            n = len(words)
+            words += [words[c] for c in code[at].tolist()]
+            rest = np.unique(code[~first & ~breaks])
+            ids = [self.end] * n + self._ids(words[n:], {}, "")
+            for c, x in zip(rest.tolist(), self._ids([words[c] for c in rest.tolist()], self.kept, " "), strict=True):
+                ids[c] = x
+            if breaks.any():
+                ids[words.index("\n")] = self.end
+            code[at] = np.arange(n, len(words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat, start = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
+        own = size[code]
+        until = np.concatenate(([0], np.cumsum(own)))
+        ids_of_all = flat[np.repeat(start[code] - until[:-1], own) + np.arange(until[-1])]
+        for i, a, b in zip(certain, until[ptr[:-1]].tolist(), until[ptr[1:]].tolist(), strict=True):
+            out[i] = ids_of_all[a:b]
         return out
 
 
-class _Both(dict):
-    """Pieces of this call, and behind them those that are kept."""
-
-    def __init__(self, kept: dict[str, bytes], own: dict[str, bytes]):
-        super().__init__(own)
-        self.kept = kept
-
-    def __missing__(self, key: str) -> bytes:
-        return self.kept[key]
-
-
-def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
-
-
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: its own where it is visible in Latin-1, else from 256 on in order."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = iter(range(256, 512))
-    return [chr(b) if b in set(visible) else chr(next(hidden)) for b in range(256)]
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
 def encoder(path: str) -> Encoder:

@@ -89,7 +89,7 @@ def _pieces(path: str, size: int):
             for at, part in X.slices(batch.column("text")):
                 rows: list[list] = [[], [], [], [], []]
                 for row, ids in enumerate(enc.encode(part.to_pylist())):
-                    all_ids = np.append(np.frombuffer(ids, "<u2"), END).astype("<u4")
+                    all_ids = np.append(ids, END).astype("<u4")
                     for start in range(0, len(all_ids), size):
                         piece = all_ids[start : start + size]
                         for c, v in zip(rows, (row, start, len(piece), zlib.crc32(piece.tobytes()), len(all_ids)), strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, neardup, packing, quality, secretscan
+from . import decontam, neardup, packing, quality, secretscan, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(table(spark, sf_dir, "documents"))
 
