@@ -92,3 +92,10 @@ def duplicates(docs, percent=85):
             x, y = sorted((top(a), top(b)))
             up[y] = x
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
+
+
+def passages(docs, size=50):
+    """{doc_id: (n_words, words in windows of ``size`` words that occur twice or more)}"""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+    n = Counter(tuple(w[i : i + size]) for w in words.values() for i in range(len(w) - size + 1))
+    return {d: (len(w), len({j for i in range(len(w) - size + 1) if n[tuple(w[i : i + size])] > 1 for j in range(i, i + size)})) for d, w in words.items()}
