@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, html_text, neardup, packing, quality, secretscan, suffixes, token_files
+from . import decontam, html_text, neardup, packing, preference, quality, secretscan, suffixes, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.report(table(spark, sf_dir, "conversations"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_pairs": preference.SQL}
