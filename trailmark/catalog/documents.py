@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ast_bucket, counted_parts, detection_ratio, header, label_parts, number, sample_name, scan_verdict, script_path, severity_label, shown, shown_change, shown_percent, slug, slug_aliases, top_level_parts, trace_parts, unit_vector, verdict, wrapped_expression
@@ -59,18 +59,21 @@ def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.funnel(_with_labels(spark, sf_dir).select(url.alias("url"), (F.col("n_chars") > 100).alias("has_trace"), (F.col("lang") == "en").alias("has_index"), (F.col("n_chars") % 7).alias("index_rows"), F.col("quality").isNotNull().alias("has_fingerprint"), (F.col("quality") == 1).alias("is_wordpress"), (F.col("toxic") == 1).alias("has_report")))
 
 
-TITLE = "split_part(text, chr(10), 1)"
-SLUG = f"trim(regexp_replace(lower({TITLE}), '[^a-z0-9]+', '-', 'g'), '-')"
+SLUG = "trim(regexp_replace(lower(p_name || ' (' || p_type || ')'), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"SELECT doc_id, {SLUG} AS slug FROM documents")
+def _title() -> Column:
+    return F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))
+
+
+@query(f"SELECT p_partkey, {SLUG} AS slug FROM part")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    return table(spark, sf_dir, "part").select("p_partkey", slug(_title()).alias("slug"))
 
 
-@query(f"WITH s AS (SELECT doc_id, {SLUG} AS slug FROM documents), w AS (SELECT doc_id, slug, string_split(slug, '-') AS w FROM s), a AS (SELECT doc_id, unnest(list_prepend(slug, list_transform(range(2, len(w) - 1), lambda i: array_to_string(w[i:], '-')))) AS alias FROM w) SELECT DISTINCT doc_id, alias FROM a")
+@query(f"WITH s AS (SELECT p_partkey, {SLUG} AS slug FROM part), w AS (SELECT p_partkey, slug, string_split(slug, '-') AS w FROM s), a AS (SELECT p_partkey, unnest(list_prepend(slug, list_transform(range(2, len(w)), lambda i: array_to_string(w[i:], '-')))) AS alias FROM w) SELECT DISTINCT p_partkey, alias FROM a")
 def slug_alias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(slug_aliases(F.substring_index("text", "\n", 1), 3)).alias("alias"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(slug_aliases(_title(), 2)).alias("alias"))
 
 
 @query("SELECT doc_id, source AS base, CASE WHEN doc_id % 3 > 0 THEN '1.' || doc_id % 9 ELSE 'unspecified' END AS version FROM documents")

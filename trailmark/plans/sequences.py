@@ -6,7 +6,7 @@ no task holds more than two blocks and no join is a cross product. Equal sequenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,35 @@ def pairs(items: DataFrame, key: str, carry: list[str], block: int = 512) -> Dat
     return side("i", True).join(side("j", False), ["x", "y"]).where("i < j").drop("x", "y")
 
 
+def block_distances(items: DataFrame, key: str, value: str, distances: Callable[[list, list], np.ndarray], block: int = 256) -> DataFrame:
+    """i, j, dist of all pairs of keys i < j. ``distances`` gives the matrix between two lists of values.
+
+    A value travels once for each pair of blocks, not once for each pair of keys; a task holds two blocks and their matrix.
+    """
+    blocks = max(1, -(-items.count() // block))
+    own = items.select(F.col(key).alias("key"), F.col(value).alias("value"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    rows = own.select("key", "value", "b", F.explode(places).alias("p")).select("p.x", "p.y", "b", "key", "value")
+    kind = own.schema["key"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        b, keys, values = t["b"].to_numpy(), t["key"].to_pylist(), t["value"].to_pylist()
+        left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
+        if not len(left) or not len(right):
+            return t.select(["key", "key"]).slice(0, 0).rename_columns(["i", "j"]).append_column("dist", pa.array([], pa.float64()))
+        d = distances([values[r] for r in left], [values[r] for r in right])
+        names_l, names_r = [keys[r] for r in left], [keys[r] for r in right]
+        at = [(r, c) for r, p in enumerate(names_l) for c, q in enumerate(names_r) if x < y or p < q]
+        i = [min(names_l[r], names_r[c]) for r, c in at]
+        j = [max(names_l[r], names_r[c]) for r, c in at]
+        pick = np.array(at, np.int64).reshape(-1, 2)
+        return pa.table({"i": pa.array(i, t["key"].type), "j": pa.array(j, t["key"].type), "dist": d[pick[:, 0], pick[:, 1]]})
+
+    tasks = min(blocks * (blocks + 1) // 2, 4096)  # little data, much work: Spark would put small partitions together
+    return rows.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(run, f"i {kind}, j {kind}, dist double")
+
+
 def distinct_sequences(traces: DataFrame, key: str, sequence: str) -> DataFrame:
     """rep, n and the sequence of each distinct one; rep is the least key."""
     return traces.groupBy(sequence).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
@@ -49,7 +78,9 @@ def cached_pairs(wanted: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def symmetric(pair_table: DataFrame) -> DataFrame:
-    return pair_table.select("i", "j", "dist").unionByName(pair_table.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    """Both directions of each pair, in one pass over the pairs."""
+    both = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return pair_table.select(F.explode(both).alias("p"), "dist").select("p.i", "p.j", "dist")
 
 
 # --- time warping ---------------------------------------------------------------------------
@@ -87,21 +118,26 @@ def cost_matrix(tokens: list[str], suspicious: frozenset[str] = frozenset(K.SUSP
 
 
 def warped(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """SEQ-03 of many pairs at once, by anti-diagonals. a, b: padded ids; na, nb: lengths."""
+    """SEQ-03 of many pairs at once, by anti-diagonals. a, b: padded ids, a row for each pair; na, nb: lengths."""
     rows, n = a.shape
     m = b.shape[1]
     out = np.where(na == 0, nb, np.where(nb == 0, na, 0)).astype(float)
-    before = np.full((rows, n + 1), INF)
-    last = before.copy()
-    before[:, 0] = 0  # the corner, on diagonal 0
+    by_end = np.where((na > 0) & (nb > 0), na + nb, 0)
+    flat, left, right = cost.ravel(), np.ascontiguousarray(a.T) * len(cost), np.ascontiguousarray(b.T[::-1])  # positions first: a diagonal is contiguous
+    before, last, now = (np.full((n + 1, rows), INF) for _ in range(3))
+    before[0] = 0  # the corner, on diagonal 0
     for k in range(2, n + m + 1):
         lo, hi = max(1, k - m), min(n, k - 1)
-        now = np.full((rows, n + 1), INF)
-        step = cost[a[:, lo - 1 : hi], b[:, k - hi - 1 : k - lo][:, ::-1]]
-        now[:, lo : hi + 1] = step + np.minimum(np.minimum(last[:, lo : hi + 1], last[:, lo - 1 : hi]), before[:, lo - 1 : hi])
-        done = np.flatnonzero((na + nb == k) & (na > 0) & (nb > 0))
-        out[done] = now[done, na[done]]
-        before, last = last, now
+        cell = now[lo : hi + 1]
+        np.minimum(last[lo : hi + 1], last[lo - 1 : hi], out=cell)
+        np.minimum(cell, before[lo - 1 : hi], out=cell)
+        cell += flat[left[lo - 1 : hi] + right[m - k + lo : m - k + hi + 1]]
+        now[lo - 1] = INF
+        if hi < n:
+            now[hi + 1] = INF
+        done = np.flatnonzero(by_end == k)
+        out[done] = now[na[done], done]
+        before, last, now = last, now, before
     return out
 
 
@@ -144,17 +180,34 @@ def dtw_native(a: str, b: str, cost: str) -> Column:
             (cur, j) -> concat(cur, array({step} + least(element_at(cur, -1), element_at(prev, j + 1), element_at(prev, j)))))), -1) END""")
 
 
-def dtw_pairs(traces: DataFrame, key: str, sequence: str, cap: float | None = None, suspicious: tuple[str, ...] = K.SUSPICIOUS, block: int = 512) -> DataFrame:
+def _warped_blocks(suspicious: frozenset[str]) -> Callable[[list, list], np.ndarray]:
+    def run(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+        names = sorted({t for s in (*left, *right) for t in s})
+        number = {t: i for i, t in enumerate(names)}
+        cost = cost_matrix(names, suspicious) if names else np.zeros((1, 1))
+        (a, na), (b, nb) = (_padded([[number[t] for t in s] for s in side]) for side in (left, right))
+        at = np.indices((len(left), len(right))).reshape(2, -1)
+        at = at[:, np.argsort(na[at[0]] + nb[at[1]], kind="stable")]
+        out = np.zeros((len(left), len(right)))
+        for k in range(0, at.shape[1], 512):
+            r, c = at[:, k : k + 512]
+            n, m = na[r], nb[c]
+            out[r, c] = warped(a[r, : max(1, n.max())], n, b[c, : max(1, m.max())], m, cost)
+        return out
+
+    return run
+
+
+def dtw_pairs(traces: DataFrame, key: str, sequence: str, cap: float | None = None, suspicious: tuple[str, ...] = K.SUSPICIOUS, block: int = 128) -> DataFrame:
     """SEQ-06, SEQ-07: i, j, dist of all pairs of traces; beyond ``cap`` the cap itself. Each pair of distinct sequences is compared once."""
     reps = traces.groupBy(sequence).agg(F.min(key).alias("rep"))
     of = traces.select(key, sequence).join(reps, sequence).select(key, "rep")
-    between = pairs(reps, "rep", [sequence], block).select(F.col("i").alias("ri"), F.col("j").alias("rj"), dtw(f"{sequence}_i", f"{sequence}_j", suspicious).alias("d"))
-    both = between.unionByName(between.select(F.col("rj").alias("ri"), F.col("ri").alias("rj"), "d"))
-    x, y = of.select(F.col(key).alias("i"), F.col("rep").alias("ri")), of.select(F.col(key).alias("j"), F.col("rep").alias("rj"))
-    unequal = x.join(both, "ri").join(y, "rj").where("i < j").select("i", "j", "d")
-    equal = x.join(y, F.col("ri") == F.col("rj")).where("i < j").select("i", "j", F.lit(0.0).alias("d"))
+    between = block_distances(reps, "rep", sequence, _warped_blocks(frozenset(suspicious)), block).select(F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("dist").alias("d"))
+    x, y = of.select(F.col(key).alias("a"), F.col("rep").alias("ri")), of.select(F.col(key).alias("b"), F.col("rep").alias("rj"))
+    unequal = between.join(x, "ri").join(y, "rj").select("a", "b", "d")
+    equal = x.join(y, F.col("ri") == F.col("rj")).where("a < b").select("a", "b", F.lit(0.0).alias("d"))
     d = F.col("d") if cap is None else F.least(F.col("d"), F.lit(float(cap)))
-    return unequal.unionByName(equal).select("i", "j", d.alias("dist"))
+    return unequal.unionByName(equal).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), d.alias("dist"))
 
 
 def similarity(dist: Column | str) -> Column:
@@ -268,9 +321,14 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x))
 
 
-def vector_pairs(items: DataFrame, key: str, vector: str, block: int = 512) -> DataFrame:
-    """SEQ-11: i, j, dist."""
-    return pairs(items, key, [vector], block).select("i", "j", euclidean(f"{vector}_i", f"{vector}_j").alias("dist"))
+def _euclidean_blocks(left: list, right: list) -> np.ndarray:
+    a, b = np.array(left, float), np.array(right, float)
+    return np.stack([np.sqrt(((b - row) ** 2).sum(1)) for row in a])
+
+
+def vector_pairs(items: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
+    """SEQ-11: i, j, dist; euclidean() says the same as a column, for pairs that are there already."""
+    return block_distances(items, key, vector, _euclidean_blocks, block)
 
 
 def sparse_cosine_pairs(entries: DataFrame, key: str, node: str, weight: str) -> DataFrame:
