@@ -12,9 +12,25 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.common import blank_to_null, has_any, said
-from ..functions.tokens import first_url, given, member, truth
 from ..functions.urls import host
 
+# what the rules read of a payload; each payload is parsed once
+FIELDS = ("type", "keys", "value", "registrationStack", "stack", "outputPreview", "output", "inputPreview", "codePreview", "listenerPreview", "eventType", "property", "attribute", "object", "configurable", "isNativePrototype", "isNative", *K.URL_KEYS)
+SCHEMA = f"struct<{', '.join(f'{f}:string' for f in FIELDS)}>"
+
+
+def given(p: Column, name: str) -> Column:
+    return p[name]
+
+
+def member(p: Column, *names: str) -> Column:
+    """The first of these members that is not null or blank."""
+    return F.coalesce(*(blank_to_null(p[n]) for n in names))
+
+
+def truth(p: Column, name: str) -> Column:
+    return F.coalesce(~p[name].isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))
+
 
 
 def _tokens() -> Column:
@@ -22,7 +38,7 @@ def _tokens() -> Column:
 
 
 def of_type(*kinds: str) -> Column:
-    return F.filter("payloads", lambda p: F.coalesce(given(p, "type").isin(*kinds), F.lit(False)))
+    return F.filter("_payloads", lambda p: F.coalesce(given(p, "type").isin(*kinds), F.lit(False)))
 
 
 def token_host(token: Column) -> Column:
@@ -31,7 +47,7 @@ def token_host(token: Column) -> Column:
 
 
 def hosts(full: bool = False) -> Column:
-    own = F.transform("payloads", lambda p: host(first_url(p))) if full else F.transform(_tokens(), lambda t: F.lower(token_host(t)))
+    own = F.transform("_payloads", lambda p: host(member(p, *K.URL_KEYS))) if full else F.transform(_tokens(), lambda t: F.lower(token_host(t)))
     return F.filter(own, lambda h: h.isNotNull())
 
 
@@ -107,12 +123,13 @@ def rules(full_hosts: bool = False) -> list[Column]:
 
 
 def hits(full_hosts: bool = False) -> Column:
-    """Matches of all rules in their order, as an array of struct(name, severity, evidence)."""
+    """Matches of all rules in their order, as an array of struct(name, severity, evidence), over parsed ``_payloads``."""
     return F.filter(F.array(*rules(full_hosts)), lambda x: x.isNotNull())
 
 
 def detected(traces: DataFrame, full_hosts: bool = False) -> DataFrame:
-    return traces.withColumn("heuristic_hits", hits(full_hosts)).withColumn("heuristic_names", F.transform("heuristic_hits", lambda x: x["name"]))
+    own = traces.withColumn("_payloads", F.transform("payloads", lambda p: F.from_json(p, SCHEMA)))
+    return own.withColumn("heuristic_hits", hits(full_hosts)).drop("_payloads").withColumn("heuristic_names", F.transform("heuristic_hits", lambda x: x["name"]))
 
 
 def platform_window(tokens: Column | str, first: int = 40, length: int = 12, probes: tuple[str, ...] = K.PLATFORM_PROBES) -> Column:
