@@ -5,12 +5,14 @@ Passages of ``PASSAGE`` words or more that occur more than once, in one document
 1. Suffixes are kept only at minimiser positions: those whose ``GRAM`` words have the least hash of
    some window of ``PASSAGE`` words. Equal passages keep the same positions.
 2. Suffixes whose first words occur once in the corpus are left out, by counts per hash.
-3. The others are sorted by their words, in range partitions that may split a passage however many
-   documents share it, and each is compared with its neighbours: how many words match to the right,
-   and from there to the left. Within a batch of rows neighbours in the order of the words to the
-   left are compared as well. Neighbours across partitions are compared in one step more, two rows
-   for each partition. Where ``PASSAGE`` words match, both places are marked.
-4. Marks of a document are merged.
+3. The others are sorted by their first words and compared with their neighbours of equal first
+   words: for every number of words that a match can reach to the left, the ``PASSAGE`` words from
+   there on are sorted, equal neighbours mark each other's places, and neighbouring numbers extend
+   the mark to the left and right.
+4. A hash that more than ``HOT`` suffixes share is dealt out by the order of its suffixes' words
+   in range partitions, which split it however many documents hold it. There neighbours are those
+   of a batch of rows and of its ends, and across partitions the two rows at each boundary.
+5. Marks of a document are merged.
 
 A suffix carries the words that a match needs, up to ``PASSAGE`` to the right and the rest of its
 window to the left, as hashes of 32 bits; longer matches are marked through their other suffixes.
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .storage import kept
 
-PASSAGE, GRAM = 50, 8
+PASSAGE, GRAM, HOT = 50, 8, 2000
 WINDOW = PASSAGE - GRAM + 1
 _LEFT = WINDOW - 1
+_BASE = 0x9FB21C651E98DF25
 _COLUMNS = ["key", "right", "left", "doc_id", "pos"]
 
 
@@ -76,48 +79,73 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(at, len(part))
             w = X.words(part, X.SPACE)
             pos, key = minimisers(w)
-            keep = np.zeros(len(pos), bool)
+            keep, hot = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
             for d, (a, b) in enumerate(np.stack((np.searchsorted(pos, w.ptr[:-1]), np.searchsorted(pos, w.ptr[1:])), 1).tolist()):
-                keep[a:b] = np.isin(key[a:b].view(np.int64), rows.column("keys")[d].values.to_numpy())
-            pos, key = pos[keep], key[keep]
+                for flags, name in ((keep, "keys"), (hot, "hot_keys")):
+                    flags[a:b] = np.isin(key[a:b].view(np.int64), rows.column(name)[d].values.to_numpy())
+            pos, key, hot = pos[keep], key[keep], hot[keep]
             small = (w.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             first, end = w.ptr[w.doc[pos]], w.ptr[w.doc[pos] + 1]
             sides = []
             for index, ok in ((pos[:, None] + np.arange(PASSAGE), lambda i: i < end[:, None]), (pos[:, None] - 1 - np.arange(_LEFT), lambda i: i >= first[:, None])):
                 words = np.where(ok(index), small[np.clip(index, 0, len(small) - 1)], 0) if len(small) else np.zeros(index.shape)
                 sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * index.shape[1]), len(pos), [None, pa.py_buffer(words.astype(">u4").tobytes())]).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *sides, rows.column("doc_id").take(pa.array(w.doc[pos])), pa.array(pos - first, pa.int64())], _COLUMNS)
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many words of each row match from the first on."""
-    return np.cumprod((a == b) & (a > 0), axis=1, dtype=np.int8).sum(1, dtype=np.int64)
-
-
-def _marks(key: np.ndarray, right: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, words to the left, words to the right) of rows that share a passage with the next in this order."""
-    a, b = order[:-1], order[1:]
-    own = key[a] == key[b]
-    a, b = a[own], b[own]
-    r, lft = _same(right[a], right[b]), _same(left[a], left[b])
-    good = r + lft >= PASSAGE
-    return np.concatenate((a[good], b[good])), np.tile(lft[good], 2), np.tile(r[good], 2)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *sides, rows.column("doc_id").take(pa.array(w.doc[pos])), pa.array(pos - first, pa.int64()), pa.array(hot)], [*_COLUMNS, "hot"])
+
+
+def _repeated(key: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each row and number of words to the left, whether another row of the key has the same PASSAGE words from there on."""
+    row = np.concatenate((left[:, ::-1], right), axis=1).astype(np.uint64)
+    up, down = X.powers(_BASE, row.shape[1] + 1)
+    sums = np.zeros((len(row), row.shape[1] + 1), np.uint64)
+    np.cumsum(row * up[: row.shape[1]], axis=1, out=sums[:, 1:])
+    start = _LEFT - np.arange(WINDOW)
+    h = (sums[:, start + PASSAGE] - sums[:, start]) * down[start]
+    h = X.mix(X.mix(h + key.view(np.uint64)[:, None]) + np.arange(WINDOW, dtype=np.uint64))
+    there = (np.arange(WINDOW) <= (left > 0).sum(1)[:, None]) & (PASSAGE - np.arange(WINDOW) <= (right > 0).sum(1)[:, None])
+    at = np.flatnonzero(there.ravel())
+    order = at[np.argsort(h.ravel()[at], kind="stable")]
+    same = np.diff(h.ravel()[order]) == 0
+    out = np.zeros(h.size, bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out.reshape(h.shape)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, width).astype(np.uint32)
 
 
-def _compared(table: pa.RecordBatch, by_left: bool) -> pa.RecordBatch:
+def _compared(table: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, start, end of what the rows of a key repeat of each other."""
     key, right, left = table.column("key").to_numpy(), _matrix(table.column("right"), PASSAGE), _matrix(table.column("left"), _LEFT)
-    row, lft, r = _marks(key, right, left, np.arange(len(key)))
-    if by_left and len(key) > 2:
-        whole = np.concatenate((key.astype(">i8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(left.astype(">u4")).view(np.uint8).reshape(len(key), -1)), axis=1)
-        order = np.argsort(np.ascontiguousarray(whole).view(f"S{whole.shape[1]}").ravel(), kind="stable")
-        more = _marks(key, right, left, order)
-        row, lft, r = (np.concatenate(x) for x in zip((row, lft, r), more, strict=True))
+    flags = np.zeros((len(key), WINDOW + 2), np.int8)
+    flags[:, 1:-1] = _repeated(key, right, left)
+    step = np.diff(flags, axis=1)
+    row, least = np.nonzero(step == 1)
+    most = np.nonzero(step == -1)[1] - 1
     pos = table.column("pos").to_numpy()[row]
-    return pa.RecordBatch.from_arrays([table.column("doc_id").take(pa.array(row)), pa.array(pos - lft), pa.array(pos + r)], ["doc_id", "start", "end"])
+    return pa.RecordBatch.from_arrays([table.column("doc_id").take(pa.array(row)), pa.array(pos - most), pa.array(pos - least + PASSAGE)], ["doc_id", "start", "end"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks from rows sorted by key, every key's rows together: the last key of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut or held and held[-1].column("key")[len(held[-1]) - 1].as_py() != key[0]:
+            yield _compared(_joined([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _compared(_joined(held))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c) for b in batches]) for c in _COLUMNS], _COLUMNS)
 
 
 _EDGE = ["doc_id", "start", "end", "edge"]
@@ -125,18 +153,19 @@ _EDGE = ["doc_id", "start", "end", "edge"]
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks from the sorted rows of a partition, and its first and last row as edges."""
-    last = None
+    last, n = None, 0
     for batch in batches:
         if not len(batch):
             continue
+        n += len(batch)
         if last is None:
             yield _edge(batch.slice(0, 1))
         else:
-            batch = pa.RecordBatch.from_arrays([pa.concat_arrays((last.column(c), batch.column(c))) for c in _COLUMNS], _COLUMNS)
-        m = _compared(batch, by_left=True)
+            batch = _joined([last, batch])
+        m = _compared(batch)
         yield pa.RecordBatch.from_arrays([*m.columns, pa.nulls(len(m), _edge_type(batch))], _EDGE)
         last = batch.slice(len(batch) - 1, 1)
-    if last is not None:
+    if n > 1:
         yield _edge(last)
 
 
@@ -152,8 +181,7 @@ def _edge(row: pa.RecordBatch) -> pa.RecordBatch:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     all_rows = [b for b in batches if len(b)]
     if all_rows:
-        t = pa.Table.from_batches(all_rows).combine_chunks().sort_by([(c, "ascending") for c in _COLUMNS])
-        yield _compared(t.to_batches()[0] if t.num_rows else all_rows[0], by_left=False)
+        yield _compared(_joined(all_rows))
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,16 +190,20 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sparse = kept(spark, docs.mapInArrow(_sparse, "doc_id long, n_words long, keys array<long>"), "sparse")
     each = sparse.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
-    again = kept(spark, each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    own = each.join(again, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    suffixes = docs.join(own, "doc_id").mapInArrow(_suffixes, "key long, right binary, left binary, doc_id long, pos long")
+    again = kept(spark, each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    own = each.join(again, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("n") > HOT, F.col("key"))).alias("hot_keys"))
+    suffixes = docs.join(own, "doc_id").mapInArrow(_suffixes, "key long, right binary, left binary, doc_id long, pos long, hot boolean")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = kept(spark, suffixes, "suffixes").repartitionByRange(ranges, *_COLUMNS).sortWithinPartitions(*_COLUMNS)
-    edge = "struct<key:long,right:binary,left:binary,doc_id:long,pos:long>"
-    found = kept(spark, rows.mapInArrow(_neighbours, f"doc_id long, start long, end long, edge {edge}"), "marks")
-    # two rows for each range
-    across = found.where("edge is not null").select("edge.*").coalesce(1).mapInArrow(_across, "doc_id long, start long, end long")
-    return sparse, found.where("edge is null").select("doc_id", "start", "end").unionByName(across)
+    rows = kept(spark, suffixes, "suffixes")
+    place = "doc_id long, start long, end long"
+    found = rows.where("not hot").select(*_COLUMNS).repartition(ranges, "key").sortWithinPartitions("key").mapInArrow(_whole_keys, place)
+    if again.where(F.col("n") > HOT).limit(1).count():
+        hot = rows.where("hot").select(*_COLUMNS).repartitionByRange(ranges, *_COLUMNS).sortWithinPartitions(*_COLUMNS)
+        edge = "struct<key:long,right:binary,left:binary,doc_id:long,pos:long>"
+        dealt = kept(spark, hot.mapInArrow(_neighbours, f"{place}, edge {edge}"), "marks")
+        across = dealt.where("edge is not null").select("edge.*").coalesce(1).mapInArrow(_across, place)  # two rows for each range
+        found = found.unionByName(dealt.where("edge is null").select("doc_id", "start", "end")).unionByName(across)
+    return sparse, found
 
 
 def report(docs: DataFrame) -> DataFrame:
