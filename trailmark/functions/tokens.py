@@ -6,7 +6,7 @@ joined by ``|``; parts that are null vanish.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -105,9 +105,12 @@ def _place(url: Column, script_host: Column, most: int | None = 40) -> list[Colu
     return [url_category(url, script_host), labelled("weak_host", F.coalesce(weak_host(h), h)), *([labelled("weak_path", short_path(url, most))] if most else [])]
 
 
-def event_token(base: Column | str, arg: Column | str, script_host: Column | str) -> Column:
-    """FN-12: the parts that a family of events adds to its base, by the first family that the base belongs to."""
-    b, s = col(base), col(script_host)
+def event_token(base: Column | str, arg: Column | str, script_host: Column | str, url: Column | str, worker_url: Column | str) -> Column:
+    """FN-12: the parts that a family of events adds to its base, by the first family that the base belongs to.
+
+    Give plain columns: each is used many times over.
+    """
+    b, s, u, w = col(base), col(script_host), col(url), col(worker_url)
     m = lambda *names: member(arg, *names)
     g = lambda name: given(arg, name)
     when = lambda ok, x: F.when(ok, x)
@@ -115,21 +118,20 @@ def event_token(base: Column | str, arg: Column | str, script_host: Column | str
     method = F.coalesce(m("request.method"), m("method"), m("options.method"), m("arguments[1].method"))
     resource = m("resourceType")
     is_form = b == "Form Submitted"
-    worker, service = F.coalesce(m("scriptURL"), first_url(arg)), F.coalesce(m("scriptURL"), first_url(arg))
     options = F.array_join(F.slice(F.array_sort(F.json_object_keys(g("options"))), 1, 5), ",")
     size = F.coalesce(when(truth(arg, "blobSize"), g("blobSize")), F.length(href).cast("string"))
     families: list[tuple[Column, list[Column]]] = [
         (b == "DOM Mutation", [m("method"), labelled("attr", m("attributeName")), dom_target(g("target"))]),
         (b.isin("setAttribute Called", "getAttribute Called"), [F.upper(m("tagName")), m("attribute", "attributeName"), when((value != "") & (F.length(value) < 60), labelled("value", value))]),
         (b.isin("Event Listener Added", "Event Listener Removed"), [labelled("event", m("eventType", "listenerType", "event")), labelled("target", listener_target(g("target"))), when(truth(arg, "isCapture"), F.lit("capture")), when(truth(arg, "isPassive"), F.lit("passive"))]),
-        (b.startswith("Web Worker"), [*_place(worker, s, 60), labelled("name", F.coalesce(m("options.name"), m("name")))]),
-        (b.isin(*K.NETWORK_EVENTS), [*_place(first_url(arg), s), labelled("method", method), when(resource != b, labelled("resource", resource)), labelled("initiator", m("initiatorType")), when(is_form, labelled("fields", g("fieldCount"))), when(is_form, labelled("field_preview", form_fields(g("fields"))))]),
+        (b.startswith("Web Worker"), [*_place(w, s, 60), labelled("name", F.coalesce(m("options.name"), m("name")))]),
+        (b.isin(*K.NETWORK_EVENTS), [*_place(u, s), labelled("method", method), when(resource != b, labelled("resource", resource)), labelled("initiator", m("initiatorType")), when(is_form, labelled("fields", g("fieldCount"))), when(is_form, labelled("field_preview", form_fields(g("fields"))))]),
         (b.isin("Timeout (Function) Set", "Interval (Function) Set"), [labelled("delay", g("delay")), labelled("source", stack_source(g("registrationStack")))]),
         (b.isin("Cookie Read", "Cookie Update"), [labelled("keys", F.coalesce(cookies.keys(value), when(value == "", F.lit("empty")))), labelled("domain", blank_to_null(cookies.attribute(value, "domain"))), labelled("path", blank_to_null(cookies.attribute(value, "path"))), labelled("flags", cookies.flags(value))]),
-        (b.isin("Storage Event", "Cache API Open", "Cache API Match"), [labelled("key", m("key", "cacheName")), url_category(first_url(arg), s), labelled("value_preview", storage_summary(m("newValue", "value")))]),
+        (b.isin("Storage Event", "Cache API Open", "Cache API Match"), [labelled("key", m("key", "cacheName")), url_category(u, s), labelled("value_preview", storage_summary(m("newValue", "value")))]),
         (b.isin("PushManager Subscribe", "Notification Request Permission"), [labelled("options", blank_to_null(options))]),
         (b.isin("WebGL Context Creation", "Canvas toDataURL"), [m("contextType", "tagName")]),
-        (b == "Service Worker Registration", [*_place(service, s, None), labelled("scope", m("options.scope"))]),
+        (b == "Service Worker Registration", [*_place(w, s, None), labelled("scope", m("options.scope"))]),
         (b.isin("Clipboard Read", "Clipboard Write"), [labelled("len", g("textLength")), labelled("preview", F.substring(m("textPreview"), 1, 40))]),
         (b == "Hook Detection Attempt", [labelled("function", m("functionName"))]),
         (b.isin("Blob URL Created", "Download Triggered"), [labelled("size", size), labelled("target", F.substring(F.coalesce(href, m("blobType")), 1, 60))]),
@@ -149,13 +151,15 @@ def event_token(base: Column | str, arg: Column | str, script_host: Column | str
     return token.otherwise(F.concat_ws("|", b, m("object"), prop, kept))
 
 
-def parsed_event(event: Column | str, script_host: Column | str) -> Column:
-    """FN-13: struct(token, base, capability, arg); null for events without a base, and of the console itself (FLT-04)."""
-    arg = event_argument(event)
-    base = base_event(event, arg)
-    tag = F.when(base == "DOM Mutation", F.upper(member(given(arg, "target"), "tagName", "nodeName")))
-    made = F.struct(event_token(base, arg, script_host).alias("token"), base.alias("base"), capability(base, arg, tag).alias("capability"), arg.alias("arg"))
-    return F.when(base.isNotNull() & (base != "consoleAPI"), made)
+def with_tokens(events: DataFrame, event: str = "event", script_host: str = "script_host") -> DataFrame:
+    """FN-13: adds arg, base, token, capability; events without a base, and of the console itself, are dropped (FLT-04).
+
+    Each step is a column of its own, so that no expression is worked out twice.
+    """
+    own = events.withColumn("arg", event_argument(event)).withColumn("base", base_event(event, "arg")).where(F.col("base").isNotNull() & (F.col("base") != "consoleAPI"))
+    own = own.withColumn("_url", first_url("arg")).withColumn("_worker", F.coalesce(member("arg", "scriptURL"), F.col("_url")))
+    own = own.withColumn("_tag", F.when(F.col("base") == "DOM Mutation", F.upper(member(given("arg", "target"), "tagName", "nodeName"))))
+    return own.withColumns({"token": event_token("base", "arg", script_host, "_url", "_worker"), "capability": capability("base", "arg", "_tag")}).drop("_url", "_worker", "_tag")
 
 
 def base_of(token: Column | str) -> Column:

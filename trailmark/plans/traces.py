@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.common import col
-from ..functions.tokens import base_of, is_noise, parsed_event
+from ..functions.tokens import base_of, is_noise, with_tokens
 from ..functions.urls import host
 
 MAX_LENGTH = 2000
@@ -55,8 +55,8 @@ def argument_values(args: Column | str) -> Column:
 # --- tokens and traces ----------------------------------------------------------------------
 def tokens(events: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each event that counts: keep, token, base, capability, arg. events: keep, script_url, event (JSON text). FLT-02..04."""
-    own = events.withColumn("_p", parsed_event("event", host("script_url")))
-    return own.where(F.col("_p").isNotNull()).select(*keep, "_p.*").where(~is_noise("base", "arg"))
+    own = with_tokens(events.withColumn("script_host", host("script_url")))
+    return own.where(~is_noise("base", "arg")).select(*keep, "token", "base", "capability", "arg")
 
 
 def trace_rows(rows: DataFrame, key: str, order: list[str], token: str = "token", capability: str = "capability", suspicious: tuple[str, ...] = K.SUSPICIOUS, most: int = MAX_LENGTH) -> DataFrame:
