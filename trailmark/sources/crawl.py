@@ -139,7 +139,7 @@ def summary_lines(spark: SparkSession, path: str) -> DataFrame:
 
     own = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     section = blank_to_null(F.regexp_extract("line", r"^\s*Cluster\s+(-?\d+)", 1)).cast("int")
-    own = own.withColumn("section", F.last(section, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos")))
+    own = own.withColumn("section", F.last(section, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     return own.where(F.col("line").rlike(r"^\s*[^:]+:\s")).select("section", F.trim(F.regexp_extract("line", r"^\s*([^:]+):\s*(.*)$", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^\s*([^:]+):\s*(.*)$", 2)).alias("value"))
 
 
