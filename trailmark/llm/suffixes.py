@@ -11,7 +11,7 @@ Passages of ``PASSAGE`` words or more that occur more than once, in one document
    the mark to the left and right.
 4. A hash that more than ``HOT`` suffixes share is dealt out by the order of its suffixes' words
    in range partitions, which split it however many documents hold it. There neighbours are those
-   of a batch of rows and of its ends, and across partitions the two rows at each boundary.
+   of ``AT_ONCE`` rows and of their ends, and across partitions the two rows at each boundary.
 5. Marks of a document are merged.
 
 A suffix carries the words that a match needs, up to ``PASSAGE`` to the right and the rest of its
@@ -35,6 +35,8 @@ from . import textops as X
 from .storage import kept
 
 PASSAGE, GRAM, HOT = 50, 8, 2000
+#: rows that are compared at once, but for a single key with more
+AT_ONCE = 2000
 WINDOW = PASSAGE - GRAM + 1
 _LEFT = WINDOW - 1
 _BASE = 0x9FB21C651E98DF25
@@ -137,11 +139,23 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = batch.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1], "left"))
         if cut or held and held[-1].column("key")[len(held[-1]) - 1].as_py() != key[0]:
-            yield _compared(_joined([*held, batch.slice(0, cut)]))
+            yield from _by_keys(_joined([*held, batch.slice(0, cut)]))
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield _compared(_joined(held))
+        yield from _by_keys(_joined(held))
+
+
+def _by_keys(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Compares sorted rows, some whole keys at a time."""
+    key = rows.column("key").to_numpy()
+    ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+    at = 0
+    while at < len(key):
+        fit = ends[(ends > at) & (ends <= at + AT_ONCE)]
+        to = int(fit[-1]) if len(fit) else int(ends[ends > at][0])
+        yield _compared(rows.slice(at, to - at))
+        at = to
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -154,9 +168,7 @@ _EDGE = ["doc_id", "start", "end", "edge"]
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks from the sorted rows of a partition, and its first and last row as edges."""
     last, n = None, 0
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE)):
         n += len(batch)
         if last is None:
             yield _edge(batch.slice(0, 1))
