@@ -353,3 +353,22 @@ def test_components(spark):
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {a: top(a) for e in edges if e[0] != e[1] for a in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("needs the test tables")
+    c = duckdb.connect()
+    for p in data.glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from '{p}'")
+    got, want = queries.queries()[name](spark, str(data)).toPandas(), c.execute(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df[cols].itertuples(index=False))
+    assert rows(got) == rows(want)

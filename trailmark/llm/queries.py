@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontam, html_text, neardup, packing, preference, quality, secretscan, suffixes, token_counts, token_files
+from . import decontam, html_text, neardup, packing, preference, quality, secretscan, sql, suffixes, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_pairs": preference.SQL}
+    return sql.oracle_sql()
