@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import base_of, canonical, has_weak, is_request, is_xhr, parts, request_details, weak_penalty, weight
+from ..functions.tokens import base_of, canonical, has_weak, is_noise, is_request, is_xhr, parts, request_details, weak_penalty, weight, with_tokens
 from ..operators.aggregates import top_counts
 from ..plans import heuristics, sampling, sequences, traces
 from ..session import table
@@ -212,3 +212,46 @@ def heuristic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distribution_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.expr("user_id div 10").alias("cluster"), "event_type")
     return top_counts(e, ["cluster"], "event_type", 3)
+
+
+# --- events as JSON -------------------------------------------------------------------------
+def json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded event of another family for each event type: event_id, event, script_host."""
+    e = table(spark, sf_dir, "events")
+    u, n = F.col("user_id").cast("string"), (F.col("event_id") % 4).cast("string")
+    host = F.concat(F.lit("api.u"), (F.col("user_id") % 5).cast("string"), F.lit(".example.com"))
+    arg = (
+        F.when(F.col("event_type") == "click", F.to_json(F.struct(F.lit("XHR Request").alias("type"), F.concat(F.lit("https://"), host, F.lit(":8443/p"), n, F.lit("?q=1")).alias("url"), F.lit("POST").alias("method"), F.lit("xhr").alias("resourceType"))))
+        .when(F.col("event_type") == "view", F.to_json(F.struct(F.lit("Cookie Update").alias("type"), F.concat(F.lit("sid="), u, F.lit("; Path=/c"), n, F.lit("; Secure")).alias("value"))))
+        .when(F.col("event_type") == "purchase", F.to_json(F.struct(F.lit("Form Submitted").alias("type"), F.lit("/buy").alias("action"), F.lit(2).alias("fieldCount"), F.array(F.struct(F.lit("card").alias("name"), F.lit("text").alias("type"), F.col("event_id").alias("value_length")), F.struct(F.lit("").alias("name"), F.lit("password").alias("type"), F.lit(None).cast("long").alias("value_length"))).alias("fields"))))
+        .when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("DOM Mutation").alias("type"), F.lit("Node.appendChild").alias("method"), F.struct(F.when(F.col("event_id") % 2 == 0, "script").otherwise("div").alias("tagName"), F.concat(F.lit("n"), n).alias("id"), F.lit("a.b c").alias("className")).alias("target"))))
+        .otherwise(F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "Monitoring Started").otherwise("Eval Call").alias("type"))))
+    )
+    event = F.concat(F.lit('{"eventType":"consoleAPI","argsValues":['), arg, F.lit("]}"))
+    return e.select("event_id", "user_id", event.alias("event"), F.when(F.col("user_id") % 2 == 0, host).alias("script_host"))
+
+
+@query("""SELECT event_id, CASE event_type
+ WHEN 'click' THEN 'XHR Request|' || CASE WHEN user_id % 2 = 0 THEN 'domain:script-origin' ELSE 'weak_domain=api.u' || user_id % 5 || '.example' END || '|weak_host=api.u' || user_id % 5 || '.example|weak_path=/p' || event_id % 4 || '|method=POST|resource=xhr'
+ WHEN 'view' THEN 'Cookie Update|keys=sid|path=/c' || event_id % 4 || '|flags=secure'
+ WHEN 'purchase' THEN 'Form Submitted|domain:relative|weak_path=/buy|fields=2|field_preview=card:text:len=' || event_id || '|password'
+ WHEN 'signup' THEN 'DOM Mutation|Node.appendChild|' || CASE WHEN event_id % 2 = 0 THEN 'SCRIPT' ELSE 'DIV' END || '#n' || event_id % 4 || '.a.b.c' ELSE 'Eval Call' END AS token,
+ CASE event_type WHEN 'click' THEN 'NET_XHR' WHEN 'view' THEN 'COOKIE' WHEN 'purchase' THEN 'CREDENTIALS' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'DOM_INJECT_SCRIPT' ELSE 'DOM_MUTATION' END ELSE 'OBFUSCATION' END AS capability
+ FROM events WHERE NOT (event_type = 'error' AND event_id % 3 = 0)""")
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and capabilities of JSON events of five families, noise left out."""
+    own = with_tokens(json_events(spark, sf_dir))
+    return own.where(~is_noise("base", "arg")).select("event_id", "token", "capability")
+
+
+@query("SELECT user_id AS key, count(*) FILTER (event_type IN ('view', 'purchase') OR (event_type = 'error' AND event_id % 3 > 0))::BIGINT AS suspicious, count(*)::BIGINT - count(*) FILTER (event_type = 'error' AND event_id % 3 = 0)::BIGINT AS num_events FROM events GROUP BY 1")
+def json_trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces from JSON events, end to end."""
+    own = with_tokens(json_events(spark, sf_dir)).where(~is_noise("base", "arg"))
+    return traces.trace_rows(own, "user_id", ["event_id"]).select(F.col("user_id").alias("key"), F.col("suspicious_event_count").alias("suspicious"), "num_events")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n DESC, s DESC, key))::INT AS rank, key AS cluster FROM (SELECT user_id // 10 AS key, count(*) FILTER (event_type = 'error') AS n, sum(event_id) AS s FROM events GROUP BY 1)")
+def ranked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").groupBy(F.expr("user_id div 10").alias("cluster")).agg(F.count_if(F.col("event_type") == "error").alias("suspicious"), F.sum("event_id").alias("score"))
+    return sampling.ranked_clusters(own).select("rank", "cluster")

@@ -6,6 +6,8 @@ joined by ``|``; parts that are null vanish.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def form_fields(fields: Column | str) -> Column:
     return blank_to_null(F.array_join(F.filter(one, lambda x: x != ""), "|"))
 
 
-def capability(base: Column | str, arg: Column | str, target_tag: Column | str) -> Column:
+def capability(base: Column | str, attribute_name: Column | str, target_tag: Column | str) -> Column:
     """FN-07."""
-    b, t, attribute = col(base), col(target_tag), F.lower(F.coalesce(given(arg, "attribute"), F.lit("")))
+    b, t, attribute = col(base), col(target_tag), F.lower(F.coalesce(col(attribute_name), F.lit("")))
     exact = F.create_map(*(F.lit(x) for kv in K.CAPABILITY_OF.items() for x in kv))
     by_tag = F.when(t == "SCRIPT", "DOM_INJECT_SCRIPT").when(t == "IFRAME", "DOM_INJECT_IFRAME").when(t == "STYLE", "DOM_INJECT_HTML").otherwise("DOM_MUTATION")
     by_attribute = F.when(attribute.isin("src", "srcdoc"), "DOM_INJECT_IFRAME").when(attribute.isin("href", "innerhtml"), "DOM_INJECT_HTML").when(attribute.startswith("on"), "DOM_INJECT_SCRIPT").otherwise("DOM_MUTATION")
@@ -105,25 +107,41 @@ def _place(url: Column, script_host: Column, most: int | None = 40) -> list[Colu
     return [url_category(url, script_host), labelled("weak_host", F.coalesce(weak_host(h), h)), *([labelled("weak_path", short_path(url, most))] if most else [])]
 
 
-def event_token(base: Column | str, arg: Column | str, script_host: Column | str, url: Column | str, worker_url: Column | str) -> Column:
+# members of an argument that tokens are made from; an argument is parsed once
+FIELDS = tuple(dict.fromkeys((
+    "type", "method", "attributeName", "target", "tagName", "attribute", "value", "eventType", "listenerType", "event", "isCapture", "isPassive", "options", "name", "request", "arguments", "resourceType",
+    "initiatorType", "fieldCount", "fields", "delay", "registrationStack", "key", "cacheName", "newValue", "contextType", "textLength", "textPreview", "functionName", "blobSize", "blobType", "element",
+    "elementId", "message", "timestamp", "count", "mutationType", "iframeNumber", "object", "property", *K.URL_KEYS,
+)))
+FIELDS_SCHEMA = f"struct<{', '.join(f'{f}:string' for f in FIELDS)}>"
+
+
+def parsed_member(fields: Column | str, name: str) -> Column:
+    """A member of a parsed argument as text; what follows its name is a path inside it."""
+    first = re.match(r"\w+", name)[0]
+    return col(fields)[first] if first == name else F.get_json_object(col(fields)[first], f"${name[len(first) :]}")
+
+
+def event_token(base: Column | str, fields: Column | str, script_host: Column | str, url: Column | str, worker_url: Column | str) -> Column:
     """FN-12: the parts that a family of events adds to its base, by the first family that the base belongs to.
 
     Give plain columns: each is used many times over.
     """
     b, s, u, w = col(base), col(script_host), col(url), col(worker_url)
-    m = lambda *names: member(arg, *names)
-    g = lambda name: given(arg, name)
+    g = lambda name: parsed_member(fields, name)
+    m = lambda *names: F.coalesce(*(blank_to_null(g(n)) for n in names))
+    true = lambda name: F.coalesce(~g(name).isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))
     when = lambda ok, x: F.when(ok, x)
     value, href, prop = g("value"), m("href"), m("property")
     method = F.coalesce(m("request.method"), m("method"), m("options.method"), m("arguments[1].method"))
     resource = m("resourceType")
     is_form = b == "Form Submitted"
     options = F.array_join(F.slice(F.array_sort(F.json_object_keys(g("options"))), 1, 5), ",")
-    size = F.coalesce(when(truth(arg, "blobSize"), g("blobSize")), F.length(href).cast("string"))
+    size = F.coalesce(when(true("blobSize"), g("blobSize")), F.length(href).cast("string"))
     families: list[tuple[Column, list[Column]]] = [
         (b == "DOM Mutation", [m("method"), labelled("attr", m("attributeName")), dom_target(g("target"))]),
         (b.isin("setAttribute Called", "getAttribute Called"), [F.upper(m("tagName")), m("attribute", "attributeName"), when((value != "") & (F.length(value) < 60), labelled("value", value))]),
-        (b.isin("Event Listener Added", "Event Listener Removed"), [labelled("event", m("eventType", "listenerType", "event")), labelled("target", listener_target(g("target"))), when(truth(arg, "isCapture"), F.lit("capture")), when(truth(arg, "isPassive"), F.lit("passive"))]),
+        (b.isin("Event Listener Added", "Event Listener Removed"), [labelled("event", m("eventType", "listenerType", "event")), labelled("target", listener_target(g("target"))), when(true("isCapture"), F.lit("capture")), when(true("isPassive"), F.lit("passive"))]),
         (b.startswith("Web Worker"), [*_place(w, s, 60), labelled("name", F.coalesce(m("options.name"), m("name")))]),
         (b.isin(*K.NETWORK_EVENTS), [*_place(u, s), labelled("method", method), when(resource != b, labelled("resource", resource)), labelled("initiator", m("initiatorType")), when(is_form, labelled("fields", g("fieldCount"))), when(is_form, labelled("field_preview", form_fields(g("fields"))))]),
         (b.isin("Timeout (Function) Set", "Interval (Function) Set"), [labelled("delay", g("delay")), labelled("source", stack_source(g("registrationStack")))]),
@@ -137,8 +155,8 @@ def event_token(base: Column | str, arg: Column | str, script_host: Column | str
         (b.isin("Blob URL Created", "Download Triggered"), [labelled("size", size), labelled("target", F.substring(F.coalesce(href, m("blobType")), 1, 60))]),
         (b == "Fullscreen Requested", [m("element", "elementId")]),
         (b.isin("Alert Dialog", "Confirm Dialog", "Prompt Dialog"), [labelled("msg", F.substring(m("message"), 1, 40))]),
-        (b.isin("Geolocation getCurrentPosition", "Geolocation watchPosition"), [when(truth(arg, "options.enableHighAccuracy"), F.lit("high_accuracy")), when(truth(arg, "options.timeout"), labelled("timeout", g("options.timeout")))]),
-        (b == "Window Blur (Possible Popup)", [when(truth(arg, "timestamp"), g("timestamp"))]),
+        (b.isin("Geolocation getCurrentPosition", "Geolocation watchPosition"), [when(true("options.enableHighAccuracy"), F.lit("high_accuracy")), when(true("options.timeout"), labelled("timeout", g("options.timeout")))]),
+        (b == "Window Blur (Possible Popup)", [when(true("timestamp"), g("timestamp"))]),
         (b == "WARNING: Multiple IFrames Created", [labelled("count", g("count")), F.substring(m("message"), 1, 40)]),
         (b == "MutationObserver (Native)", [m("mutationType"), labelled("attr", m("attributeName"))]),
         (b == "IFrame Created (Potential Context Escape)", [labelled("iframe", g("iframeNumber")), labelled("source", stack_source(g("registrationStack")))]),
@@ -157,9 +175,9 @@ def with_tokens(events: DataFrame, event: str = "event", script_host: str = "scr
     Each step is a column of its own, so that no expression is worked out twice.
     """
     own = events.withColumn("arg", event_argument(event)).withColumn("base", base_event(event, "arg")).where(F.col("base").isNotNull() & (F.col("base") != "consoleAPI"))
-    own = own.withColumn("_url", first_url("arg")).withColumn("_worker", F.coalesce(member("arg", "scriptURL"), F.col("_url")))
-    own = own.withColumn("_tag", F.when(F.col("base") == "DOM Mutation", F.upper(member(given("arg", "target"), "tagName", "nodeName"))))
-    return own.withColumns({"token": event_token("base", "arg", script_host, "_url", "_worker"), "capability": capability("base", "arg", "_tag")}).drop("_url", "_worker", "_tag")
+    own = own.withColumn("_a", F.from_json("arg", FIELDS_SCHEMA)).withColumn("_url", F.coalesce(*(blank_to_null(F.col("_a")[k]) for k in K.URL_KEYS)))
+    own = own.withColumns({"_worker": F.coalesce(blank_to_null(F.col("_a.scriptURL")), F.col("_url")), "_tag": F.when(F.col("base") == "DOM Mutation", F.upper(member("_a.target", "tagName", "nodeName")))})
+    return own.withColumns({"token": event_token("base", "_a", script_host, "_url", "_worker"), "capability": capability("base", F.col("_a.attribute"), "_tag")}).drop("_a", "_url", "_worker", "_tag")
 
 
 def base_of(token: Column | str) -> Column:
