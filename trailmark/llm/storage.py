@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/trailmark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/trailmark-checkpoints"
     return base.rstrip("/")
 
 
