@@ -180,3 +180,18 @@ def test_small_operators(spark):
     assert sorted(both.columns) == ["a", "b"] and both.count() == 2
     wanted, done = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
     assert joins.existing_or_new(wanted, done, ["k"]).count() == 1 and joins.existing_or_new(wanted, done, ["k"], force=True).count() == 2
+
+
+def test_lookups_and_orders(spark):
+    from trailmark.functions import text, versions
+    from trailmark.sources import tables
+
+    t = spark.createDataFrame([("a", 1)], "trace_id string, n int")
+    assert {(r["trace_id"], r["n"]) for r in sampling.looked_up(spark.createDataFrame([("a",), ("z",)], "trace_id string"), t).collect()} == {("a", 1), ("z", None)}
+    v = spark.createDataFrame([("1.10",), ("beta",), ("1.9",), ("1.2",)], "v string")
+    assert [r["v"] for r in v.orderBy(*versions.order("v")).collect()] == ["1.2", "1.9", "1.10", "beta"]
+    s = spark.createDataFrame([(["b", "", "a", "b"],)], "s array<string>")
+    assert tuple(s.select(text.preview("s", 1), F.array_join(text.ordered_distinct("s"), ",")).first()) == ("b", "b,a")
+    assert tables.resolved(None, None, ["y", "x"]) == "x" and tables.resolved("e", "d", []) == "e"
+    traces_of = spark.createDataFrame([(1, f"t{i}", "p", [("OBFUSCATION", 9)], [("XHR Request|x", 4)], ["eval"], {"OBFUSCATION": 9}, 5) for i in range(4)], "cluster int, trace_id string, bucket string, capability_summary array<struct<label:string,n:int>>, event_distribution array<struct<label:string,n:int>>, event_sequence_preview array<string>, capability_counts map<string,int>, suspicious_event_count int")
+    assert [r["trace_id"] for r in sampling.selected(traces_of, network=True).orderBy("pick").collect()] == ["t0", "t1", "t2"]

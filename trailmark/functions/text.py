@@ -257,3 +257,13 @@ def trace_score(suspicious: Column, capabilities: Column, events: Column, previe
         zero(suspicious) + 2 * F.coalesce(total(capabilities, lambda x: x["label"].isin(*risky)), F.lit(0.0)) + 3 * F.coalesce(total(events, lambda x: has_any(F.lower(x["label"]), words)), F.lit(0.0))
         + F.when(has_any(F.lower(F.array_join(preview, " ")), words), 5.0).otherwise(0.0) + 0.5 * zero(obfuscation)
     )
+
+
+def preview(sequence: Column | str, most: int = 20) -> Column:
+    """TOP-07: the first elements of a sequence, joined by an arrow."""
+    return F.concat_ws(" -> ", F.slice(col(sequence), 1, most))
+
+
+def ordered_distinct(items: Column | str) -> Column:
+    """SET-04: distinct elements that are not blank, in the order of their first appearance."""
+    return F.array_distinct(F.filter(col(items), lambda x: F.coalesce(x != "", F.lit(False))))

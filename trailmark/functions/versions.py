@@ -105,3 +105,8 @@ def compare(a: Column | str, b: Column | str) -> Column:
         return pd.Series([_compared(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
 
     return run(col(a), col(b))
+
+
+def order(version: Column | str) -> list[Column]:
+    """TOP-05: sort columns that put numeric versions first, by number, and other forms after them, by text."""
+    return [key(version).isNull().asc(), key(version).asc(), F.lower(col(version)).asc()]

@@ -10,7 +10,7 @@ from ..functions.urls import on_platform, plain_host
 
 
 def top_counts(rows: DataFrame, by: list[str], item: str, most: int, weight: str | None = None) -> DataFrame:
-    """AGG-04, AGG-14, TOP-02, TOP-03: by, item, n, rank: the most frequent items of each group."""
+    """AGG-04, AGG-14, TOP-02, TOP-03, TOP-10: by, item, n, rank: the most frequent items of each group."""
     n = rows.groupBy(*by, item).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), item)
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

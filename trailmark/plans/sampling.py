@@ -112,3 +112,14 @@ def pending(selected: DataFrame, manifest: DataFrame) -> DataFrame:
     """JN-15: selected rows that the manifest has not done; those with errors are not done."""
     done = manifest.where(~retriable(manifest)).select(F.col("cluster").alias("_c"), F.col("trace_id").alias("_t"))
     return selected.join(done, F.col("cluster").eqNullSafe(F.col("_c")) & F.col("trace_id").eqNullSafe(F.col("_t")), "left_anti")
+
+
+def looked_up(spark_ids: DataFrame, traces: DataFrame, key: str = "trace_id") -> DataFrame:
+    """FLT-19: the traces of a list of ids, with nulls for those that are missing."""
+    return spark_ids.select(key).distinct().join(traces, key, "left")
+
+
+def selected(traces: DataFrame, network: bool = False, xhr: bool = False, least_suspicious: int | None = None, wordpress: int | None = None, least_mean: float = 20, traces_over: int = 2, over: float = 35) -> DataFrame:
+    """FLT-25: filters, scores, clusters worth keeping, and a sample of each that is diverse in code. traces: as scored(), and cluster, trace_id, bucket."""
+    own = scored(filtered(traces, network, xhr, least_suspicious, wordpress))
+    return diverse(own.join(kept_clusters(own, least_mean, traces_over, over).select("cluster"), "cluster", "left_semi"))

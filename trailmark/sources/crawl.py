@@ -148,3 +148,8 @@ def sample_manifest(spark: SparkSession, root: str) -> DataFrame:
     schema = "struct<cluster_id:int, original_cluster_id:int, samples:array<struct<trace_id:string, script_sha256:string>>>"
     own = spark.read.option("wholetext", "true").text(f"{root}/*/*manifest*.json").select(F.from_json("value", schema).alias("m"))
     return own.select(F.coalesce("m.cluster_id", "m.original_cluster_id").alias("cluster"), F.explode("m.samples").alias("s")).select("cluster", "s.*").dropDuplicates(["cluster", "trace_id"])
+
+
+def artefacts(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-27: url_hash, timestamp, script_id with a trace's index row and its events: what a pair of traces is shown with."""
+    return scripts(spark, root).join(index(spark, root), ["url_hash", "timestamp", "script_id"])

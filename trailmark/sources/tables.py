@@ -87,3 +87,11 @@ def selection(samples: DataFrame, root: str, target: str) -> DataFrame:
     from ..functions.text import sample_name
 
     return samples.select(F.concat_ws("/", F.lit(root), "url_hash", "timestamp", F.lit("loaded_js"), "file_name").alias("source"), F.concat_ws("/", F.lit(target), F.concat(F.lit("cluster_"), F.col("cluster").cast("string")), sample_name("rank", "trace_id", "hash")).alias("target"))
+
+
+def resolved(explicit: str | None, default: str | None, found: list[str]) -> str:
+    """SRC-29: the path that is given, else the default, else the first that was found, by name."""
+    for path in (explicit, default, *sorted(found)):
+        if path:
+            return path
+    raise FileNotFoundError("no samples were given or found")
