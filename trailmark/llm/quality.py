@@ -176,7 +176,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns. Texts are measured twice rather than stored."""
-    limits = thresholds(kept(docs.sparkSession, measured(docs.select("text", "lang", "source")).drop("text"), "quality"))
+    spark = docs.sparkSession
+    limits = kept(spark, thresholds(kept(spark, measured(docs.select("text", "lang", "source")).drop("text"), "quality")), "thresholds")  # of a known size: if it is small, texts stay where they are
     name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own = judged(measured(docs.toDF(*name.values()), name["text"]), limits, name["lang"], name["source"])
     return own.where("kept").select(*name.values()).toDF(*name)
