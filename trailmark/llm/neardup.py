@@ -224,7 +224,7 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = kept(spark, docs.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, registers binary"), "sketch")
-    classes = _classes(sketch)
+    classes = kept(spark, _classes(sketch), "classes")
     families = _families(classes)
     ids = families.join(classes.select("rep", "digest"), F.col("id") == F.col("rep")).select("rep", "digest", F.col("label").alias("family"))
     contents = docs.join(ids, F.col("doc_id") == F.col("rep")).mapInArrow(_contents, "rep long, family long, registers binary, content binary")
@@ -245,5 +245,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents, with their own columns, that are the first of their component, by doc_id; of rows that repeat a doc_id all stay or go."""
-    gone = duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    gone = kept(docs.sparkSession, duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone")  # of a known size: if it is small, texts stay where they are
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
