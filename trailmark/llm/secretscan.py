@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import kept
+
 RULE_VERSION = 1
 #: kind: pattern, group whose length counts, least length; in the order in which kinds are listed
 BASE = {
@@ -96,7 +98,7 @@ def findings(paths: DataFrame, ledger: DataFrame | None = None, text: str = "tex
     rows = unseen(paths, ledger, text)
     if ledger is not None:
         rows = rows.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "findings"))
-    some = rows.where(F.size("findings") > 0).select("blob", "findings")
+    some = kept(paths.sparkSession, rows.where(F.size("findings") > 0).select("blob", "findings"), "findings")  # of a known size: if it is small, texts stay where they are
     own = paths.drop("findings").withColumn("blob", address(text))
     return own.join(some, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(T.ArrayType(_FINDING)))).drop("blob")
 
