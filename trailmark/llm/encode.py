@@ -61,7 +61,7 @@ class Encoder:
 
     def _ids(self, words: list[str], kept: dict[str, bytes], before: str) -> list[bytes]:
         """Ids of distinct words: those at the end of sentences are put together from the word's and the mark's."""
-        found = [kept.get(w) for w in words]
+        found = list(map(kept.get, words))
         new = [w for w, f in zip(words, found, strict=True) if f is None]
         if not new:
             return found
