@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -21,7 +22,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, str(p.relative_to(top.parent)))
-    sc.addPyFile(path)
+    sc.addPyFile(path)  # executors fetch it from here
+    atexit.register(lambda: Path(path).unlink(missing_ok=True))
     sc._trailmark_shipped = True
 
 
