@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/trailmark-checkpoints"
-    return base.rstrip("/")
+    """``spark.checkpoint.dir`` of the session. Only where it is unset, as in tests, a folder of this machine that goes when Python ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="trailmark-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
