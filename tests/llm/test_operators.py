@@ -211,6 +211,8 @@ def test_html(spark):
     assert html_text.extract(page) == "Title & more\nFirst bold text here.\nSecond.\nThird line."
     plain = "<div><p>{}</p><p>Short.</p><p>{}</p></div><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><a href=b>Three</a></div><div><a href=b>Four</a></div>".format("long text " * 12, "more text " * 12)
     assert html_text.extract(plain) == "\n".join([("long text " * 12).strip(), "Short.", ("more text " * 12).strip()])
+    classes = "<body class='menu-open'><div class='site-header'>Site</div><div class='layout sidebar-right'><article class='post'><h1 class='header'>Own title</h1><div class='entry-content with-sidebar'><p>Text one.</p></div><div class='comment-list'><article class='comment'><p>Not this.</p></article></div></article></div><div id='page-footer'>End</div>"
+    assert html_text.extract(classes) == "Own title\nText one."
     rows = [(1, "u", page, "clash"), (2, None, None, "c"), (3, "u", "", "c"), (4, "u", "<", "c"), (4, "u", "<", "c"), (5, "u", "<!-- never ends", "c"), (6, "u", "<p title='x>y", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_text.report(df).collect()

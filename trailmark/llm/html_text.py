@@ -39,26 +39,44 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 PARTS = frozenset(
     "nav navbar navigation menu submenu masthead header footer sidebar widget widgets ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert comment comments reply replies discussion disqus respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search breadcrumb breadcrumbs pagination pager popup modal overlay toolbar skip copyright legal disclaimer tagcloud outbrain taboola".split()
 )
-WHOLE = frozenset("content main article wrapper wrap container page layout body site with has no post entry".split())
-
-
-def _names(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether it is hidden."""
-    words: set[str] = set()
+#: words that turn a name of a part into a state of what holds it ("with-sidebar", "menu-open")
+STATES = frozenset("with without has no open closed enabled disabled layout".split())
+#: words that make a header the article's own
+TITLED = frozenset("article post entry story".split())
+#: parts whose own articles are not the page's
+LISTS = frozenset("comment comments reply replies discussion related recommended widget widgets sidebar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
+    """The words of each class and of the id, the role, and whether it is hidden."""
+    names: list[list[str]] = []
     role, hidden = "", False
     if "=" not in attributes and "hidden" not in attributes:
-        return words, role, hidden
+        return names, role, hidden
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(x for x in re.split(r"[^a-z0-9]+", value) if x)
+            names += [w for x in value.split() if (w := [y for y in re.split(r"[^a-z0-9]+", x) if y])]
         elif name == "role":
             role = value.strip()
         elif name == "itemprop" and "articlebody" in value:
             role = "article"
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return words, role, hidden
+    return names, role, hidden
+
+
+def _part(names: list[list[str]], in_article: bool) -> set[str]:
+    """The kinds of page part that names say: a part's word first or last in one of them."""
+    found: set[str] = set()
+    if ["layout"] in names:  # it holds the parts that its other names tell of
+        return found
+    for words in names:
+        hit = {words[0], words[-1]} & PARTS
+        if hit and not STATES.intersection(words) and not (hit == {"header"} and (in_article or TITLED.intersection(words))):
+            found |= hit
+    return found
 
 
 class _Lines:
@@ -85,7 +103,7 @@ def lines(page: str) -> _Lines:
     low = page.lower() if page.isascii() else page.translate(_LOWER)
     article = main = anchor = 0
     heading = False
-    skip, depth = "", 0
+    skip, depth, kinds = "", 0, set()
     while at < n:
         m = _TAG.search(page, at)
         upto = m.start() if m else n
@@ -106,7 +124,8 @@ def lines(page: str) -> _Lines:
         if skip:
             if name == skip:
                 depth += -1 if close else not attributes.endswith("/")
-            if depth and not (skip == "form" and name in ("article", "main") and not close):
+            inner = not close and depth and name in ("article", "main") and not kinds & LISTS and not _part(_names(attributes)[0], False)
+            if depth and not inner:
                 continue
             skip, depth = "", 0
             if close:
@@ -122,7 +141,7 @@ def lines(page: str) -> _Lines:
             elif name == "a":
                 anchor = 0
             continue
-        words, role, hidden = _names(attributes)
+        names, role, hidden = _names(attributes)
         if name in BLOCKS:
             out.end(2 if article else 1 if main else 0, heading)
             heading = name in ("h1", "h2")
@@ -130,9 +149,8 @@ def lines(page: str) -> _Lines:
             out.parts.append(" ")
         if name in VOID or attributes.endswith("/"):
             continue
-        part = name in NEVER or name == "header" and not article or role in ROLES or hidden or words & PARTS and not words & WHOLE
-        if part and words & {"header"} and article and not words & (PARTS - {"header"}):
-            part = name in NEVER
+        kinds = _part(names, article > 0) if name not in HEADINGS else set()
+        part = name in NEVER or name == "header" and not article or role in ROLES or hidden or kinds
         if part and name not in ("html", "body", "main"):
             ends = low.find(f"</{name}", at)
             if ends < 0 and name not in RAW:
