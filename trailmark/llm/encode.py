@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 800_000
+KEEP = 400_000
+#: text that is encoded at once: more would share more words and take more memory
+ENCODE_BYTES = 2 << 20
 #: white space other than the space and the line end, and combinations of those, and the start of special tokens
 _ASCII_ODD = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _ODD = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .encode import encoder
+from .encode import ENCODE_BYTES, encoder
 from .storage import kept
 
 SEQUENCE, END, GROUP = 2048, 1, 2000
@@ -86,7 +86,7 @@ def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for at, part in X.slices(batch.column("text")):
+            for at, part in X.slices(batch.column("text"), ENCODE_BYTES):
                 rows: list[list] = [[], [], [], [], []]
                 for row, ids in enumerate(enc.encode(part.to_pylist())):
                     all_ids = np.append(ids, END).astype("<u4")

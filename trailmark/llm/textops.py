@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back at once
 
 _U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -36,7 +37,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, _U)

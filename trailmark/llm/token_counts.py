@@ -25,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textops as X
+from .encode import ENCODE_BYTES
 
-MARK, UNKNOWN, KEEP = "▁", 20_000, 1_000_000
+MARK, UNKNOWN, KEEP = "▁", 20_000, 600_000
 _AS_SPACE = np.arange(256, dtype=np.uint8)
 _AS_SPACE[0x09:0x0E] = 0x20
 _models: dict[str, Unigram] = {}
@@ -111,7 +112,7 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for at, part in X.slices(batch.column("text")):
+            for at, part in X.slices(batch.column("text"), ENCODE_BYTES):
                 words, tokens = counts(part, m)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .encode import encoder
+from .encode import ENCODE_BYTES, encoder
 from .storage import folder, kept
 
 LONGEST, STEP, END = 16, 256, 0
@@ -133,7 +133,7 @@ def _stored(path: str, end: int):
         names = ["part", "seg", "before", "doc_ids", "n_tokens", "ids", "counts"]
         for batch in batches:
             kind = batch.column("doc_id").type
-            for at, texts in X.slices(batch.column("text")):
+            for at, texts in X.slices(batch.column("text"), ENCODE_BYTES):
                 own = [np.append(x, np.uint16(end)) for x in enc.encode(texts.to_pylist())]
                 flat = np.concatenate(own)
                 counts += np.bincount(flat, minlength=1 << 16)
