@@ -27,7 +27,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,7 +38,7 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in zip(range(256), _byte_letters(), strict=True)})
         self.marks = {m: self.whole([m])[0].tobytes() for m in ".,"}
         self.end = b"" if self.folds else self.whole(["\n"])[0].tobytes()
-        self.kept: dict[str, bytes] = {}  # ids of words after a space
+        self.keep, self.kept = keep, {}  # ids of words after a space
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,7 +73,7 @@ class Encoder:
         own = dict(zip(todo, self._new(todo, before), strict=True))
         for w, s in zip(ended, stems, strict=True):
             own[w] = (own[s] if s in own else kept[s]) + self.marks[w[-1]]
-        if len(kept) + len(own) <= KEEP:
+        if len(kept) + len(own) <= self.keep:
             kept.update(own)
         return [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
 
@@ -125,8 +125,8 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     """One for each worker and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, keep)
     return _encoders[path]

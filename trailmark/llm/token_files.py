@@ -38,6 +38,7 @@ from .encode import ENCODE_BYTES, encoder
 from .storage import folder, kept
 
 LONGEST, STEP, END = 16, 256, 0
+KEEP = 800_000  # words whose ids a worker keeps
 _U = np.uint64
 
 
@@ -122,7 +123,7 @@ def _stored(path: str, end: int):
     """Rows of a few MB of text: ids and where they stand in the partition; a last row has the partition's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seg, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, part, seg, before = encoder(path, KEEP), TaskContext.get().partitionId(), 0, 0
         counts, pack = np.zeros(1 << 16, np.int64), zstandard.ZstdCompressor(1)
         kind = None
 
