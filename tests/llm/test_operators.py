@@ -236,6 +236,21 @@ def test_hot_passages_are_split(spark, docs, texts, monkeypatch):
     assert all(got[i][1] >= 70 for i in range(61, 80, 2)) and got[5] == want[5]
 
 
+def test_hot_passages_equal_brute_force(spark, docs, texts, monkeypatch):
+    """Boilerplate that all documents hold, after own words that only some share: every partner is found, however small the slices."""
+    monkeypatch.setattr(suffixes, "HOT", 4)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 3)
+    rng = random.Random(8)
+    common = _sentence(rng, 40, 5000)
+    heads = [_sentence(rng, 15, 9000) for _ in range(20)]
+    own = {i: f"{_sentence(rng, 30, 9000)} {heads[i % 20] if i < 60 else _sentence(rng, 15, 9000)} {common} {_sentence(rng, 60, 9000)}" for i in range(120)}
+    want = brute.passages(own.items())
+    assert all((want[i][1] >= 55) == (i < 60) for i in own)
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    assert _rows(suffixes.report(df), "n_words", "n_repeated") == want
+    assert _rows(suffixes.report(docs), "n_words", "n_repeated") == brute.passages(texts.items())
+
+
 def test_quality(spark, docs, texts, empty):
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     want = brute.quality(texts.items())

@@ -9,12 +9,12 @@ Passages of ``PASSAGE`` words or more that occur more than once, in one document
    words: for every number of words that a match can reach to the left, the ``PASSAGE`` words from
    there on are sorted, equal neighbours mark each other's places, and neighbouring numbers extend
    the mark to the left and right.
-4. A hash that more than ``HOT`` suffixes share is dealt out by the order of its suffixes' words
-   in range partitions, which split it however many documents hold it. There neighbours are those
-   of ``AT_ONCE`` rows and of their ends, and across partitions the two rows at each boundary.
+4. Where more than ``HOT`` suffixes share a hash, the windows of ``PASSAGE`` words whose least hash
+   it is are counted by their own hashes instead, which combines before the shuffle; those that occur
+   again are marked. Equal windows have the same least hash, so none of a frequent hash is left out.
 5. Marks of a document are merged.
 
-A suffix carries the words that a match needs, up to ``PASSAGE`` to the right and the rest of its
+A suffix of step 3 carries the words that a match needs, up to ``PASSAGE`` to the right and the rest of its
 window to the left, as hashes of 32 bits; longer matches are marked through their other suffixes.
 
 Defined results: null, empty and short texts have no passages; repeated rows repeat each other's
@@ -52,14 +52,20 @@ def _slide(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
+def _least(g: np.ndarray, w: X.Words) -> np.ndarray:
+    """The least of the hashes g in each window of PASSAGE words, 0 in windows across texts."""
+    least = _slide(g, WINDOW, np.minimum)
+    least[w.doc[: len(least)] != w.doc[PASSAGE - 1 :]] = 0
+    return least
+
+
 def minimisers(w: X.Words) -> tuple[np.ndarray, np.ndarray]:
     """Word positions of the kept suffixes, and hashes of their first words."""
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(w) < PASSAGE:
         return none
     g = X.windows(w.hash, GRAM)
-    least = _slide(g, WINDOW, np.minimum)
-    least[w.doc[: len(least)] != w.doc[PASSAGE - 1 :]] = 0  # windows across texts
+    least = _least(g, w)
     most = _slide(np.concatenate((np.zeros(WINDOW - 1, np.uint64), least, np.zeros(len(g) - len(least), np.uint64))), WINDOW, np.maximum)
     at = np.flatnonzero((most[: len(g)] == g) & (g > 0))
     return at, g[at]
@@ -76,23 +82,32 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes at the keys that repeat, and as hot rows the windows of frequent keys: hash and first word."""
     for batch in batches:
         for at, part in X.slices(batch.column("text")):
             rows = batch.slice(at, len(part))
             w = X.words(part, X.SPACE)
             pos, key = minimisers(w)
-            keep, hot = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
+            keep = np.zeros(len(pos), bool)
             for d, (a, b) in enumerate(np.stack((np.searchsorted(pos, w.ptr[:-1]), np.searchsorted(pos, w.ptr[1:])), 1).tolist()):
-                for flags, name in ((keep, "keys"), (hot, "hot_keys")):
-                    flags[a:b] = np.isin(key[a:b].view(np.int64), rows.column(name)[d].values.to_numpy())
-            pos, key, hot = pos[keep], key[keep], hot[keep]
+                keep[a:b] = np.isin(key[a:b].view(np.int64), rows.column("keys")[d].values.to_numpy())
+            pos, key = pos[keep], key[keep]
             small = (w.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             first, end = w.ptr[w.doc[pos]], w.ptr[w.doc[pos] + 1]
             sides = []
             for index, ok in ((pos[:, None] + np.arange(PASSAGE), lambda i: i < end[:, None]), (pos[:, None] - 1 - np.arange(_LEFT), lambda i: i >= first[:, None])):
                 words = np.where(ok(index), small[np.clip(index, 0, len(small) - 1)], 0) if len(small) else np.zeros(index.shape)
                 sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * index.shape[1]), len(pos), [None, pa.py_buffer(words.astype(">u4").tobytes())]).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *sides, rows.column("doc_id").take(pa.array(w.doc[pos])), pa.array(pos - first, pa.int64()), pa.array(hot)], [*_COLUMNS, "hot"])
+            yield _rows(rows, w, key, sides, pos, False)
+            hot = rows.column("hot_keys").flatten()
+            if len(hot):
+                pos = np.flatnonzero(np.isin(_least(X.windows(w.hash, GRAM), w), hot.to_numpy().view(np.uint64))) if len(w) >= PASSAGE else np.zeros(0, np.int64)
+                yield _rows(rows, w, X.windows(w.hash, PASSAGE)[pos], [pa.nulls(len(pos), pa.binary())] * 2, pos, True)
+
+
+def _rows(docs: pa.RecordBatch, w: X.Words, key: np.ndarray, sides: list[pa.Array], pos: np.ndarray, hot: bool) -> pa.RecordBatch:
+    doc = w.doc[pos]
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *sides, docs.column("doc_id").take(pa.array(doc)), pa.array(pos - w.ptr[doc]), pa.array(np.full(len(pos), hot))], [*_COLUMNS, "hot"])
 
 
 def _repeated(key: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -162,40 +177,6 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(c) for b in batches]) for c in _COLUMNS], _COLUMNS)
 
 
-_EDGE = ["doc_id", "start", "end", "edge"]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from the sorted rows of a partition, and its first and last row as edges."""
-    last, n = None, 0
-    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE)):
-        n += len(batch)
-        if last is None:
-            yield _edge(batch.slice(0, 1))
-        else:
-            batch = _joined([last, batch])
-        m = _compared(batch)
-        yield pa.RecordBatch.from_arrays([*m.columns, pa.nulls(len(m), _edge_type(batch))], _EDGE)
-        last = batch.slice(len(batch) - 1, 1)
-    if n > 1:
-        yield _edge(last)
-
-
-def _edge_type(batch: pa.RecordBatch) -> pa.DataType:
-    return pa.struct([(c, batch.column(c).type) for c in _COLUMNS])
-
-
-def _edge(row: pa.RecordBatch) -> pa.RecordBatch:
-    none = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([row.column("doc_id"), none, none, pa.StructArray.from_arrays([row.column(c) for c in _COLUMNS], _COLUMNS)], _EDGE)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    all_rows = [b for b in batches if len(b)]
-    if all_rows:
-        yield _compared(_joined(all_rows))
-
-
 def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_words, keys of every document; doc_id, start, end of places that repeat another)"""
     spark = docs.sparkSession
@@ -203,18 +184,17 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sparse = kept(spark, docs.mapInArrow(_sparse, "doc_id long, n_words long, keys array<long>"), "sparse")
     each = sparse.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
     again = kept(spark, each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    own = each.join(again, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("n") > HOT, F.col("key"))).alias("hot_keys"))
+    hot = F.col("n") > HOT
+    own = each.join(again, "key").groupBy("doc_id").agg(*(F.collect_set(F.when(some, F.col("key"))).alias(name) for name, some in (("keys", ~hot), ("hot_keys", hot))))
     suffixes = docs.join(own, "doc_id").mapInArrow(_suffixes, "key long, right binary, left binary, doc_id long, pos long, hot boolean")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = kept(spark, suffixes, "suffixes")
     place = "doc_id long, start long, end long"
     found = rows.where("not hot").select(*_COLUMNS).repartition(ranges, "key").sortWithinPartitions("key").mapInArrow(_whole_keys, place)
-    if again.where(F.col("n") > HOT).limit(1).count():
-        hot = rows.where("hot").select(*_COLUMNS).repartitionByRange(ranges, *_COLUMNS).sortWithinPartitions(*_COLUMNS)
-        edge = "struct<key:long,right:binary,left:binary,doc_id:long,pos:long>"
-        dealt = kept(spark, hot.mapInArrow(_neighbours, f"{place}, edge {edge}"), "marks")
-        across = dealt.where("edge is not null").select("edge.*").coalesce(1).mapInArrow(_across, place)  # two rows for each range
-        found = found.unionByName(dealt.where("edge is null").select("doc_id", "start", "end")).unionByName(across)
+    if again.where(hot).limit(1).count():
+        windows = rows.where("hot").select("key", "doc_id", "pos")
+        twice = kept(spark, windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")  # read again, so that AQE can split the join
+        found = found.unionByName(windows.join(twice, "key").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("end")))
     return sparse, found
 
 
