@@ -323,6 +323,62 @@ def test_patterns_hold_every_piece_and_pad_little():
     assert packing.patterns({}) == [] and [p.used for p in packing.patterns({5: 1000})][0] <= 2048
 
 
+@pytest.mark.parametrize("hot", [1100, 1300, 2000])
+@pytest.mark.parametrize("others", [0, 4000])
+def test_hot_lengths_are_cut_to_fill_packs(hot, others):
+    rng = random.Random(3)
+    histogram = Counter(rng.randint(1, 2048) for _ in range(others)) + Counter({hot: 2000})
+    stay, apart = packing.dissolved(packing.patterns(histogram))
+    held = Counter()
+    for p in [*stay, *apart]:
+        for length, times in p.lengths:
+            held[length] += times * p.n
+    assert held == histogram
+    total = sum(k * n for k, n in histogram.items())
+    assert sum(p.n for p in stay) * 2048 - total < 0.01 * total + 2 * 2048
+    slots, room = packing._slots(stay, apart)
+    taken = defaultdict(list)
+    for length, n in histogram.items():
+        for rank in range(n):
+            first, times, sequence, offset = slots[length][np.searchsorted(slots[length][:, 0], rank, "right") - 1].tolist()
+            if times:
+                taken[sequence + (rank - first) // times].append((offset + (rank - first) % times * length, length))
+            else:
+                for _, k, q, o in packing._parts(offset + (rank - first) * length, length, room):
+                    taken[q].append((o, k))
+    assert set(taken) <= set(range(sum(p.n for p in stay))) and sum(n for own in taken.values() for _, n in own) == total
+    for own in taken.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+
+
+def test_cut_pieces_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    text = " ".join(f"word{i % 7}" for i in range(700))
+    ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    assert 1100 < len(ids) < 2000
+    rows = packing.packed(spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string"), path).collect()
+    assert len({r["sequence_id"] for r in rows}) <= -(-60 * len(ids) // 2048) + 1
+    own, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own[r["doc_id"]].append(r)
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in own.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for places in seq.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:])) and min(places)[0] == 0
+
+
 def test_ranks_have_no_gaps(spark):
     rows = [(i, 0, 7 if i % 3 else 9, i) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long")
