@@ -220,6 +220,16 @@ def test_html(spark):
     assert html_text.report(df.where("false")).count() == 0
 
 
+def test_html_keeps_parts_of_the_article_and_wrapped_pages():
+    page = '<body><article><h1>Study</h1><p>Methods here.</p><section id="discussion"><p>What we found.</p></section><p class="legal">The court said so.</p><section id="comments"><p>First!</p></section></article></body>'
+    assert html_text.extract(page) == "Study\nMethods here.\nWhat we found.\nThe court said so."
+    text = "A sentence of the page that is long enough to be told from menus. " * 3
+    wrapped = f'<html><head><title>t</title></head><body><form id="form1" method="post"><div><p>{text}</p><p>{text}</p></div></form><div>foot</div></body>'
+    assert html_text.extract(wrapped).count("A sentence of the page") == 6
+    searched = f"<body><form><p>{text}</p></form><p>{'Other words that make most of the page. ' * 12}</p></body>"
+    assert "A sentence" not in html_text.extract(searched)
+
+
 def test_repeated_passages(spark, docs, texts, empty):
     want = brute.passages(texts.items())
     assert _rows(suffixes.report(docs), "n_words", "n_repeated") == want

@@ -45,6 +45,8 @@ STATES = frozenset("with without has no open closed enabled disabled layout".spl
 TITLED = frozenset("article post entry story".split())
 #: parts whose own articles are not the page's
 LISTS = frozenset("comment comments reply replies discussion related recommended widget widgets sidebar".split())
+#: parts' words that name subjects as well: in an article they tell no part by themselves
+SUBJECTS = frozenset("discussion legal disclaimer social notice notices notification alert consent promotion search copyright".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -74,6 +76,8 @@ def _part(names: list[list[str]], in_article: bool) -> set[str]:
         return found
     for words in names:
         hit = {words[0], words[-1]} & PARTS
+        if in_article and len(words) == 1:
+            hit -= SUBJECTS
         if hit and not STATES.intersection(words) and not (hit == {"header"} and (in_article or TITLED.intersection(words))):
             found |= hit
     return found
@@ -155,6 +159,8 @@ def lines(page: str) -> _Lines:
             ends = low.find(f"</{name}", at)
             if ends < 0 and name not in RAW:
                 continue
+            if name == "form" and not (role in ROLES or hidden or kinds) and 2 * (ends - at) > n - max(low.find("<body"), 0):
+                continue  # it wraps the page
             if name in RAW:
                 at = page.find(">", ends) + 1 if ends >= 0 else n
                 at = at or n
