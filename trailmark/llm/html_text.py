@@ -2,11 +2,13 @@
 
 Markup is stripped into lines, one for each block, in page order. Elements that are never article
 text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
-told by tag, role, class or id and make lines of length 0, as do, where the page marks its article
-or main part, the lines outside it, and, where it does not, lines that are mostly links. Lengths
-are then summed over windows of ``WINDOW`` lines (Chen, "General web page text extraction based on
-line-block distribution", 2009): the text starts where the sums surge and ends where they dive,
-and all lines of some length between are kept. In a marked article any text is a surge.
+told by tag, role, class or id and make no lines. A line weighs its letters, or nothing where they
+are mostly links. Where the page marks its article or main part (by element, role or itemprop), a
+line inside weighs ``SURGE`` more and a line outside nothing, so that a mark is evidence that the
+sums carry. Weights are summed over windows of ``WINDOW`` lines (Chen, "General web page text
+extraction based on line-block distribution", 2009): on every page the text starts where the sums
+reach ``SURGE`` and ends where they fall under ``DIVE``, and all lines of some weight between are
+kept. Kept blocks are joined by two line ends.
 
 A page is one row and one pass; nothing is shuffled.
 
@@ -106,7 +108,15 @@ def lines(page: str) -> _Lines:
     out, at, n = _Lines(), 0, len(page)
     low = page.lower() if page.isascii() else page.translate(_LOWER)
     article = main = anchor = 0
+    marked: list[list] = []  # open elements that a role or itemprop marks: name, depth, whether an article
+    closes: dict[str, int] = {}  # where the next end tag of a name is
     heading = False
+
+    def closing(name: str) -> int:
+        if -1 < closes.get(name, 0) < at or name not in closes:
+            closes[name] = low.find(f"</{name}", at)
+        return closes[name]
+
     skip, depth, kinds = "", 0, set()
     while at < n:
         m = _TAG.search(page, at)
@@ -138,6 +148,11 @@ def lines(page: str) -> _Lines:
             if name in BLOCKS:
                 out.end(2 if article else 1 if main else 0, heading)
                 article, main = article - (name == "article" and article > 0), main - (name == "main" and main > 0)
+                if marked and marked[-1][0] == name:
+                    marked[-1][1] -= 1
+                    if not marked[-1][1]:
+                        _, _, is_article = marked.pop()
+                        article, main = article - is_article, main - (not is_article)
                 heading = False
                 anchor = 0
             elif name in ("td", "th"):
@@ -156,7 +171,7 @@ def lines(page: str) -> _Lines:
         kinds = _part(names, article > 0) if name not in HEADINGS else set()
         part = name in NEVER or name == "header" and not article or role in ROLES or hidden or kinds
         if part and name not in ("html", "body", "main"):
-            ends = low.find(f"</{name}", at)
+            ends = closing(name)
             if ends < 0 and name not in RAW:
                 continue
             if name == "form" and not (role in ROLES or hidden or kinds) and 2 * (ends - at) > n - max(low.find("<body"), 0):
@@ -168,12 +183,17 @@ def lines(page: str) -> _Lines:
                 at = body
             else:
                 skip, depth = name, 1
-        elif name == "article" or role == "article":
-            article += name == "article"
-        elif name == "main" or role == "main":
-            main += name == "main"
+        elif name == "article":
+            article += 1
+        elif name == "main":
+            main += 1
+        elif role in ("article", "main") and name in BLOCKS:
+            marked.append([name, 1, role == "article"])
+            article, main = article + (role == "article"), main + (role == "main")
         elif name == "a":
             anchor = 1
+        elif marked and marked[-1][0] == name:
+            marked[-1][1] += 1
     out.end(2 if article else 1 if main else 0, heading)
     return out
 
@@ -181,39 +201,40 @@ def lines(page: str) -> _Lines:
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
-def lengths(x: _Lines) -> tuple[np.ndarray, int, int]:
-    """Length of each line, and the sums at which text starts and ends."""
+def weights(x: _Lines) -> np.ndarray:
+    """Letters of each line, as evidence of the article: links count nothing, and a mark as much as a surge."""
     n = np.array([len(t) for t in x.text], np.int64)
-    level = max(x.inside, default=0)
+    inside = np.array(x.inside)
+    level = int(inside.max()) if len(inside) else 0
     if level:
-        return np.where(np.array(x.inside) == level, n, 0), 1, 1
-    n[2 * np.array(x.linked, np.int64) >= n] = 0
-    return n, SURGE, DIVE
+        return np.where(inside == level, n + SURGE, 0)
+    return np.where(2 * np.array(x.linked, np.int64) >= n, 0, n)
 
 
-def distribution(n: np.ndarray, surge: int, dive: int, window: int = WINDOW) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the sums over windows of lines, and have a length."""
+def distribution(n: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which lines lie between a surge and a dive of the sums over windows of lines, and have a weight."""
     sums = np.convolve(n, np.ones(window, np.int64))[window - 1 :][: len(n)]  # of each line and those after it
     keep = np.zeros(len(n), bool)
     inside = False
     for i, s in enumerate(sums.tolist()):
-        inside = s >= surge or inside and s >= dive
+        inside = s >= SURGE or inside and s >= DIVE
         keep[i] = inside
     return keep & (n > 0)
 
 
 def extract(page: str | None) -> str:
+    """The article's blocks, joined by two line ends."""
     if not page:
         return ""
     x = lines(page)
     if not x.text:
         return ""
-    keep = distribution(*lengths(x))
+    keep = distribution(weights(x))
     if not max(x.inside):  # the heading above the text
         first = int(np.argmax(keep)) if keep.any() else 0
         for i in range(max(0, first - WINDOW), first):
             keep[i] |= x.heading[i]
-    return "\n".join(t for t, k in zip(x.text, keep.tolist(), strict=True) if k)
+    return "\n\n".join(t for t, k in zip(x.text, keep.tolist(), strict=True) if k)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
