@@ -117,6 +117,28 @@ def test_encoder_equals_the_library(texts, name):
     assert [x.tolist() for x in encode.encoder(path).encode(own)] == [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_over_all_scripts(name):
+    """Words of letters, marks and signs of every script, at word ends too; forms that composition leaves out or that folding makes longer."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(name)
+    rng = random.Random(name)
+    odd = [*map(chr, (*range(0x958, 0x960), *range(0xFB00, 0xFB07), *range(0xFB1D, 0xFB4F))), "\u0130", "I\u0307", "\u1e9e", "\u03a3", "\u03c2", "\u1f88", "\u0345", "\u0301", "\u0327", "\u1100\u1161", "\u212b", "\u2126", "\U0001f600", "\u200d", "'s", "'", "1", "\u00bd"]
+    ranges = [(0x41, 0x7B), (0xC0, 0x250), (0x250, 0x2B0), (0x370, 0x400), (0x400, 0x530), (0x531, 0x590), (0x5D0, 0x5F5), (0x600, 0x700), (0x900, 0xE00), (0xE00, 0x1000), (0x10A0, 0x1200), (0x13A0, 0x13F6), (0x1E00, 0x2000), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xA640, 0xA6A0), (0xAC00, 0xAD00), (0x10400, 0x10450), (0x1D400, 0x1D500)]
+
+    def letter():
+        return rng.choice(odd) if rng.random() < 0.3 else chr(rng.randrange(*rng.choice(ranges)))
+
+    def word():
+        return "".join(letter() for _ in range(rng.randint(1, 5))) + rng.choice(["", ".", ",", "..", ".,", ")"])
+
+    own = ["\u0915\u0958.", "\u095e. a", "\u0915\u0915\u093c, x", "\u05e9\u05c1,", "\ufb2a,", "\u0130.", "A\u0130LES\u0130, ok", "\ufb00."] + [rng.choice([" ", "\n", " \n"]).join(word() for _ in range(rng.randint(1, 8))) for _ in range(6000)]
+    t = Tokenizer.from_file(path)
+    got, want = encode.encoder(path).encode(own), [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
+    assert [a for a, g, w in zip(own, got, want, strict=True) if g.tolist() != w] == []
+
+
 def test_token_files(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
@@ -208,11 +230,11 @@ def test_html(spark):
     <header><a href=/>Home</a></header><nav><ul><li>Menu</ul></nav><div class="ad">Buy now and get many things for less than ever before.</div>
     <article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b>\n text&nbsp;here.<p>Second.<form><input><label>Name</label></form><aside>See also</aside><p>Third<br>line.</article>
     <div id="comments"><p>I disagree with all of this at great length, really, all of it, from top to bottom.</p></div><footer>&copy; me</footer></body></html>"""
-    assert html_text.extract(page) == "Title & more\nFirst bold text here.\nSecond.\nThird line."
+    assert html_text.extract(page) == "Title & more\n\nFirst bold text here.\n\nSecond.\n\nThird line."
     plain = "<div><p>{}</p><p>Short.</p><p>{}</p></div><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><a href=b>Three</a></div><div><a href=b>Four</a></div>".format("long text " * 12, "more text " * 12)
-    assert html_text.extract(plain) == "\n".join([("long text " * 12).strip(), "Short.", ("more text " * 12).strip()])
+    assert html_text.extract(plain) == "\n\n".join([("long text " * 12).strip(), "Short.", ("more text " * 12).strip()])
     classes = "<body class='menu-open'><div class='site-header'>Site</div><div class='layout sidebar-right'><article class='post'><h1 class='header'>Own title</h1><div class='entry-content with-sidebar'><p>Text one.</p></div><div class='comment-list'><article class='comment'><p>Not this.</p></article></div></article></div><div id='page-footer'>End</div>"
-    assert html_text.extract(classes) == "Own title\nText one."
+    assert html_text.extract(classes) == "Own title\n\nText one."
     rows = [(1, "u", page, "clash"), (2, None, None, "c"), (3, "u", "", "c"), (4, "u", "<", "c"), (4, "u", "<", "c"), (5, "u", "<!-- never ends", "c"), (6, "u", "<p title='x>y", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_text.report(df).collect()
@@ -222,7 +244,7 @@ def test_html(spark):
 
 def test_html_keeps_parts_of_the_article_and_wrapped_pages():
     page = '<body><article><h1>Study</h1><p>Methods here.</p><section id="discussion"><p>What we found.</p></section><p class="legal">The court said so.</p><section id="comments"><p>First!</p></section></article></body>'
-    assert html_text.extract(page) == "Study\nMethods here.\nWhat we found.\nThe court said so."
+    assert html_text.extract(page) == "Study\n\nMethods here.\n\nWhat we found.\n\nThe court said so."
     text = "A sentence of the page that is long enough to be told from menus. " * 3
     wrapped = f'<html><head><title>t</title></head><body><form id="form1" method="post"><div><p>{text}</p><p>{text}</p></div></form><div>foot</div></body>'
     assert html_text.extract(wrapped).count("A sentence of the page") == 6
@@ -230,6 +252,45 @@ def test_html_keeps_parts_of_the_article_and_wrapped_pages():
     assert "A sentence" not in html_text.extract(searched)
 
 
+def _page(rng, layout):
+    """A page of known blocks, and its text by the contract."""
+    said = lambda n: " ".join(rng.choice(["one", "two &amp; half", "caf\u00e9", "x&nbsp;y", "end."]) for _ in range(n))
+    blocks = [(rng.choice(["p", "h2", "li", "blockquote", "pre"]), said(rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
+    body = "".join(f"<{t}>\n {rng.choice(['', '<b>', '<i class=x>'])}{x}\t\n</{t}>" for t, x in blocks)
+    noise = lambda: rng.choice(["<nav><a href=/>Menu of it</a></nav>", "<aside>Beside the point</aside>", "<form><p>Name</p></form>", "<script>if (a < b) '</p>'</script>", "<div class='ad-slot'>Buy this now, it is good for you and all yours.</div>", "<div id=cookie-notice><p>We set cookies.</p></div>", "<!-- <p>hidden</p> -->"])
+    wrap = {"article": "<article>{}</article>", "role": "<div role='article'><div>{}</div></div>", "itemprop": "<section itemprop=articleBody>{}</section>", "main": "<main>{}</main>", "role-main": "<div role=main>{}</div>"}[layout]
+    page = f"<html><head><title>T</title></head><body>{noise()}<header>Site</header>{noise()}{wrap.format(body)}<div class='comments'><p>{'I say no. ' * 40}</p></div>{noise()}<footer>Foot</footer></body></html>"
+    text = "\n\n".join(" ".join(x.replace("&amp;", "&").replace("&nbsp;", " ").split()) for _, x in blocks)
+    return page, text
+
+
+@pytest.mark.parametrize("layout", ["article", "role", "itemprop", "main", "role-main"])
+def test_html_equals_the_blocks_of_built_pages(layout):
+    rng = random.Random(layout)
+    for _ in range(60):
+        page, text = _page(rng, layout)
+        assert html_text.extract(page) == text
+
+
+def test_html_sums_decide_on_marked_and_unmarked_pages():
+    x = html_text.lines("<p>out</p><article><p>in</p></article><p>out</p><p>out</p><p>out</p><article><p>in</p></article>")
+    w = html_text.weights(x)
+    assert w.tolist() == [0, html_text.SURGE + 2, 0, 0, 0, html_text.SURGE + 2]
+    assert html_text.distribution(w).tolist() == [False, True, False, False, False, True]
+    assert html_text.distribution(np.array([5, 90, 10, 3, 30, 0, 0, 0, 19, 0, 0])).tolist() == [True] * 5 + [False] * 6
+
+
+def test_html_of_great_length_takes_linear_time():
+    import time
+
+    long_text = "<p>" + "word " * 50 + "</p>"
+    page = "<body>" + "<nav>" * 20_000 + "<article>" + long_text * 5000 + "</article>" + "<aside>" * 20_000
+    began = time.time()
+    assert html_text.extract("<article>" + long_text * 5000 + "</article>").count("\n\n") == 4999
+    html_text.extract(page)
+    assert time.time() - began < 20
+
+
 def test_repeated_passages(spark, docs, texts, empty):
     want = brute.passages(texts.items())
     assert _rows(suffixes.report(docs), "n_words", "n_repeated") == want

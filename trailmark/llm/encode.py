@@ -67,7 +67,7 @@ class Encoder:
         new = [w for w, f in zip(words, found, strict=True) if f is None]
         if not new:
             return found
-        ended = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        ended = [w for w in new if w[-1:] in self.marks and _steady(w[-2:-1])]
         stems = [w[:-1] for w in ended]
         todo = list(set(new).difference(ended).union(s for s in stems if s not in kept))
         own = dict(zip(todo, self._new(todo, before), strict=True))
@@ -118,6 +118,11 @@ class Encoder:
         return out
 
 
+def _steady(letter: str) -> bool:
+    """A letter that normalisation and folding leave one letter, so that a mark after it is a word of its own."""
+    return letter.isalpha() and (letter.isascii() or len(low := letter.lower()) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", letter) and unicodedata.is_normalized("NFC", low))
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: its own where it is visible in Latin-1, else from 256 on in order."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
