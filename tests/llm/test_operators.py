@@ -167,6 +167,55 @@ def test_preference_pairs(spark):
     assert preference.report(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_preference_pairs_share_turns(spark):
+    """Against a plain version: ties of turns, repeated and very long conversations, null ids, clashing columns."""
+    import hashlib
+
+    rng = random.Random(6)
+    convs = {i: [(k, rng.choice(["user", "assistant", "system"]), rng.choice(["yes", "no", "perhaps so", "", None]) if rng.random() < 0.4 else _sentence(rng, 5)) for k in range(rng.randint(1, 6))] for i in range(60)}
+    convs[60] = [(0, "user", "hi"), (1, "assistant", "same"), (1, "assistant", "same"), (1, "user", "tie")]
+    for i in range(61, 90):
+        convs[i] = convs[60]
+    convs[90] = [(k, "assistant" if k % 2 else "user", _sentence(rng, 6)) for k in range(3000)]
+    convs[91] = [(0, None, None), (None, "user", "first")]
+    rows = [(i, k, r, t, "clash", "c", 1) for i, c in convs.items() for k, r, t in c] + [(None, 0, "user", "lost", "clash", "c", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt string, c string, n int").repartition(3)
+
+    turns = {i: sorted(((k if k is not None else -1, r or "", t or "") for k, r, t in c)) for i, c in convs.items()}
+    last = {i: max((j for j, t in enumerate(c) if t[1] == "assistant"), default=None) for i, c in turns.items()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    answers = {}
+    for i, j in last.items():
+        if j is not None:
+            answers.setdefault((md5(turns[i][j][2]), turns[i][j][2]), []).append(i)
+    order = sorted(answers)
+    said = lambda ts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, r, t in ts)
+    got = {r["conv_id"]: r for r in preference.completed(preference.contrasted(df, bucket=10_000)).collect()}
+    assert set(got) == set(convs)
+    for i, c in turns.items():
+        j, r = last[i], got[i]
+        if j is None:
+            assert (r["prompt"], r["chosen"], r["rejected"], r["usable"], r["other_id"]) == (said(c), "", "", False, None)
+            continue
+        other = order[(order.index((md5(c[j][2]), c[j][2])) + 1) % len(order)]
+        assert r["other_id"] == min(answers[other]) and r["n_prompt_turns"] == j
+        assert (r["prompt"], r["chosen"], r["rejected"]) == (said(c[:j]), said(c[j:]), said([(0, "assistant", other[1]), *c[j + 1 :]]))
+        for text, spans, full in ((r["chosen"], r["chosen_spans"], c[j:]), (r["rejected"], r["rejected_spans"], [(0, "assistant", other[1]), *c[j + 1 :]])):
+            assert [text[int(a) : int(b)] for a, b in (x.split(":") for x in spans.split(","))] == [f"{t}<|im_end|>" for _, role, t in full if role == "assistant"]
+    assert preference.report(df.where("conv_id = 60")).first()["usable"] is False
+    assert preference.report(df).count() == len(convs)
+
+
+def test_most_prompts_hold_turns(spark):
+    from pathlib import Path
+
+    for sf in ("sf0.001", "sf0.01"):
+        if Path(f"/root/testdata/{sf}").exists():
+            rows = queries.op3_preference_pairs(spark, f"/root/testdata/{sf}").collect()
+            answered = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet").where("role = 'assistant' and turn > 0").select("conv_id").distinct().count()
+            assert sum(r["prompt"] != "" and r["usable"] for r in rows) == answered > 0.5 * len(rows)
+
+
 def test_secrets(spark, docs, texts, empty):
     cols = ("n_assign", "n_access", "n_hex", "base_sha256")
     want = brute.secrets(texts.items())

@@ -1,4 +1,4 @@
-"""Written tables that cut lineage, in the folder which the cluster names for them."""
+"""Written tables that cut lineage, in the folder which the cluster names for them, and how rows are dealt out."""
 
 from __future__ import annotations
 
@@ -8,19 +8,35 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: bytes that a partition of a shuffle should hold
+PARTITION_BYTES = 128 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where it is unset, as in tests, a folder of this machine that goes when Python ends."""
+    """A folder of this application under the session's ``spark.checkpoint.dir``; Spark removes it when the application ends.
+
+    Where the setting is absent, as in tests, it is a folder of this machine, which only a local master may use.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="trailmark-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="trailmark-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        return f"file://{_own[0]}"
+    sc = spark.sparkContext
+    at = f"{base.rstrip('/')}/trailmark-{sc.applicationId}"
+    if not getattr(sc, "_trailmark_folder", False):
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what is there can be named for removal
+        files.deleteOnExit(path)
+        sc._trailmark_folder = True
+    return at
 
 
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -28,3 +44,15 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out anew where a scan has fewer splits than there are cores, as for a table of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ranges(df: DataFrame, size: str, most: int = PARTITION_BYTES) -> int:
+    """Partitions for a shuffle of ``df``: as many as the session has, or more so that none holds over ``most`` of the bytes that the expression ``size`` adds up to."""
+    total = df.agg(F.sum(F.expr(size)).alias("n")).first()["n"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
