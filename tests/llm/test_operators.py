@@ -195,7 +195,7 @@ def test_preference_pairs_share_turns(spark):
     for i, c in turns.items():
         j, r = last[i], got[i]
         if j is None:
-            assert (r["prompt"], r["chosen"], r["rejected"], r["usable"], r["other_id"]) == (said(c), "", "", False, None)
+            assert (r["prompt"], r["chosen"], r["rejected"], r["usable"], r["other_id"]) == (said(c), "", "", False, -1)
             continue
         other = order[(order.index((md5(c[j][2]), c[j][2])) + 1) % len(order)]
         assert r["other_id"] == min(answers[other]) and r["n_prompt_turns"] == j

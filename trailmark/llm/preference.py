@@ -83,15 +83,15 @@ def completed(pairs: DataFrame) -> DataFrame:
 
 
 def contrasted(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """conv_id, other_id, c, r: each conversation and itself with the last answer of another, and whose that is."""
+    """conv_id, other_id, c, r: each conversation and itself with the last answer of another, and whose that is (-1 where none is lent)."""
     own = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", _turn()).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("c"))
     n = conversations.agg(F.count_distinct("conv_id").alias("n")).first()["n"]
     before = F.array_position(F.reverse(F.transform("c", lambda t: t["role"] == LEARNED)), True)
     own = own.withColumn("last", F.when(before > 0, F.size("c") - before + 1).otherwise(0).cast("int"))
     own = own.withColumn("answer", F.when(F.col("last") > 0, F.try_element_at("c", F.col("last"))["text"]))
     part = F.pmod(F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(1, n // bucket)))
-    own = own.withColumns({"part": part, "digest": F.md5("answer")})
-    here = Window.partitionBy("part", F.col("answer").isNull())
+    own = own.withColumns({"part": part, "digest": F.md5("answer"), "mute": F.col("answer").isNull()})
+    here = Window.partitionBy("part", "mute")
     own = own.withColumn("k", F.dense_rank().over(here.orderBy("digest")))
     lent = F.struct("conv_id", "answer")
     following = F.min(lent).over(here.orderBy("k").rangeBetween(1, 1))
@@ -101,7 +101,7 @@ def contrasted(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     after = F.slice("c", F.col("last") + 1, F.size("c"))
     changed = F.transform(F.slice("c", F.greatest("last", F.lit(1)), F.lit(1)), lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("other.answer").alias("text")))
     r = F.when(F.col("last") == 0, F.col("c")).when(F.col("other").isNull(), upto).otherwise(F.concat(upto, changed, after))
-    return own.select("conv_id", F.col("other.conv_id").alias("other_id"), "c", r.alias("r"))
+    return own.select("conv_id", F.coalesce(F.col("other.conv_id"), F.lit(-1)).cast("long").alias("other_id"), "c", r.alias("r"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ x AS (SELECT t.*, n.n, '{OPEN}' || role || chr(10) || text || '<|im_end|>' || ch
              sum(CASE WHEN k > n THEN {len(OPEN) + 1 + len(CLOSE)} + length(role) + length(text) END) OVER (PARTITION BY conv_id, side ORDER BY k) AS until
       FROM t JOIN n USING (conv_id)),
 s AS (SELECT *, CASE WHEN k > n AND role = '{LEARNED}' THEN (until - 1 - {len(CLOSE) - 1} - length(text))::BIGINT::VARCHAR || ':' || (until - 1)::BIGINT::VARCHAR END AS span FROM x)
-SELECT s.conv_id, any_value(b.other_id) AS other_id, n::BIGINT AS n_prompt_turns,
+SELECT s.conv_id, coalesce(any_value(b.other_id), -1)::BIGINT AS other_id, n::BIGINT AS n_prompt_turns,
        coalesce(string_agg(said, '' ORDER BY k) FILTER (k <= n AND side = 0), '') AS prompt,
        coalesce(string_agg(said, '' ORDER BY k) FILTER (k > n AND side = 0), '') AS chosen,
        coalesce(string_agg(span, ',' ORDER BY k) FILTER (span IS NOT NULL AND side = 0), '') AS chosen_spans,
