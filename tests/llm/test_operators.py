@@ -77,10 +77,9 @@ def test_decontamination(spark, docs, texts, empty):
     want = brute.contamination(texts.items(), [x for x in items if x[0] is not None])
     cols = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert _rows(decontam.report(docs, bench), *cols) == want
-    small = decontam.contamination(docs, bench, block_windows=20)  # many blocks, one after the other
-    got = {r["doc_id"]: (r["contamination"]["n_words"], sum(b - a for a, b in zip(r["contamination"]["span_starts"], r["contamination"]["span_ends"])), len(r["contamination"]["items"])) for r in small.collect()}
-    assert got == {k: v[:3] for k, v in want.items()}
-    assert set(small.columns) == {*docs.columns, "contamination"}
+    assert _rows(decontam.report(docs, bench, most=3), *cols) == want  # too large to be broadcast: the join alone decides
+    twice = decontam.report(docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:])), bench).collect()
+    assert len(twice) == 2 * len(texts) and sum(r["n_hit"] for r in twice) == 2 * sum(v[1] for v in want.values())
     assert decontam.report(empty, bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(v[4] for v in _rows(decontam.report(docs, none), *cols).values())
@@ -88,6 +87,8 @@ def test_decontamination(spark, docs, texts, empty):
     assert kept == {k for k, v in want.items() if not v[4]}
     cut = {r["doc_id"]: r["text"] for r in decontam.remove_spans(docs, bench).collect()}
     assert all(cut[k] == texts[k] for k in kept) and len(cut) == len(texts)
+    assert decontam.drop_contaminated(docs, bench).columns == decontam.remove_spans(docs, bench).columns == docs.columns
+    assert decontam.remove_spans(empty, bench).count() == decontam.drop_contaminated(empty, none).count() == 0
     assert not brute.contamination([(k, cut[k]) for k in want if want[k][4] and k == 5], items[3:4])[5][4]
 
 

@@ -40,3 +40,14 @@ def test_ranges_follow_bytes(spark):
     assert storage.ranges(df, "octet_length(text)") == base
     assert storage.ranges(df, "octet_length(text)", 1000) == 100
     assert storage.ranges(df.where("false"), "octet_length(text)") == base
+
+
+def test_split_keeps_every_row(spark):
+    df = spark.range(5000).selectExpr("if(id % 7 = 0, null, id % 900) as a", "id as b")
+    ids = spark.range(0, 900, 9).selectExpr("id as a")
+    sure, maybe = storage.split(df, ids, "a")
+    assert sure.columns == maybe.columns == ["a", "b"]
+    assert sorted(r["b"] for r in sure.unionByName(maybe).collect()) == list(range(5000))
+    assert not {r["a"] for r in sure.collect()} & set(range(0, 900, 9)) and maybe.count() < 700
+    none, _ = storage.split(df, ids.where("false"), "a")
+    assert none.count() == 5000

@@ -56,3 +56,19 @@ def ranges(df: DataFrame, size: str, most: int = PARTITION_BYTES) -> int:
     """Partitions for a shuffle of ``df``: as many as the session has, or more so that none holds over ``most`` of the bytes that the expression ``size`` adds up to."""
     total = df.agg(F.sum(F.expr(size)).alias("n")).first()["n"] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
+
+
+#: bits of the map by which split() tells most rows apart: 2**18 rows of 64 bits at most
+MAP_BITS = 24
+
+
+def split(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not among the ids', rows whose key may be): of two scans the first needs no shuffle, and the second shuffles little more than it must.
+
+    ``key`` is SQL over columns that both have. The map of hashed keys has a fixed largest size, so it is broadcast however many ids there are.
+    """
+    bit = f"pmod(xxhash64({key}), {1 << MAP_BITS})"
+    slots = ids.select(F.expr(bit).alias("b")).selectExpr("shiftright(b, 6) as _slot", "shiftleft(1L, cast(pmod(b, 64) as int)) as m").groupBy("_slot").agg(F.bit_or("m").alias("_mask"))
+    own = df.withColumn("_bit", F.expr(bit)).join(F.broadcast(slots), F.expr("shiftright(_bit, 6) = _slot"), "left")
+    told = F.expr("coalesce(_mask & shiftleft(1L, cast(pmod(_bit, 64) as int)), 0L)")
+    return own.where(told == 0).select(*df.columns), own.where(told != 0).select(*df.columns)
