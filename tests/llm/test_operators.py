@@ -262,10 +262,25 @@ def test_near_duplicates_beyond_one_block(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"y{rng.randint(0, 9999)}"
         own[i] = " ".join(w)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "NEAR_BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 5000)
     got = _rows(neardup.report(spark.createDataFrame(list(own.items()), "doc_id long, text string")), "n_shingles", "component_id", "kept")
     assert got == brute.duplicates(own.items())
 
 
+def test_boilerplate_makes_no_family(spark):
+    """Documents that share a third of their shingles, as by a long licence, chain into no family."""
+    rng = random.Random(9)
+    licence = _sentence(rng, 60, 5000)
+    own = {i: f"{_sentence(rng, 60, 90_000)} {licence}" for i in range(1500)}
+    own |= {2000 + i: " ".join([*own[i].split(" ")[:-1], "z"]) for i in range(0, 1500, 100)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)
+    sketch = df.mapInArrow(neardup._sketched, "doc_id long, n_shingles long, digest binary, registers binary")
+    families = neardup._families(neardup._classes(sketch), 80)
+    assert max(r["count"] for r in families.groupBy("label").count().collect()) == 2
+    assert _rows(neardup.report(df), "n_shingles", "component_id", "kept") == brute.duplicates(own.items())
+
+
 def test_estimates_are_near_the_similarity():
     rng = np.random.RandomState(1)
     a = np.unique(rng.randint(0, 1 << 62, 2000, dtype=np.int64).astype(np.uint64))
