@@ -541,7 +541,41 @@ def test_token_counts(spark, docs, texts, empty):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
     want = {i: (len(w), sum(memo.setdefault(x, best(x)) for x in w)) for i, w in words.items()}
     assert _rows(token_counts.counted(docs, path), "n_pretokens", "n_tokens") == want
+    assert _rows(token_counts.counted(docs, path, common=10), "n_pretokens", "n_tokens") == want  # nearly all are joined
     assert token_counts.counted(empty, path).count() == 0
+    unnamed = docs.selectExpr("cast(null as long) as doc_id", "text")
+    got = token_counts.counted(docs.unionByName(docs).select("doc_id", "text").unionByName(unnamed), path, common=10).collect()
+    assert len(got) == 3 * len(texts) and sum(r["n_tokens"] for r in got) == 3 * sum(v[1] for v in want.values())
+    table = token_counts.vocabulary(docs, path).collect()
+    seen = Counter(x for w in words.values() for x in w)
+    assert {r["word"]: r["n"] for r in table} == seen and all(r["tokens"] == memo[r["word"]] for r in table)
+
+
+def test_trie_shares_prefixes():
+    trie = token_counts.Trie({"ab": 10, "abc": 12, "c": 5, token_counts.MARK: 1})
+    assert [trie.insert(w) for w in ("ab", "abc", "abcab", "ab", "")] == [2, 2, 3, 2, 1]
+    assert len(trie.cost) == 1 + 1 + 5 and trie.terminals == {"ab": 2, "abc": 2, "abcab": 3, "": 1}
+
+
+def test_token_counts_equal_sql(spark):
+    """Over a small vocabulary: the least cost of every prefix by a recursive query."""
+    import duckdb
+
+    costs = {token_counts.MARK: 4, f"{token_counts.MARK}a": 6, "a": 3, "b": 5, "ab": 6, "ba": 7, "aba": 8, "bab": 9}
+    trie = token_counts.Trie(costs)
+    words = ["".join(random.Random(i).choices("ab", k=i % 12 + 1)) for i in range(80)]
+    c = duckdb.connect()
+    c.execute("create table piece(p varchar, cost bigint)")
+    c.executemany("insert into piece values (?, ?)", list(costs.items()))
+    c.execute("create table word(w varchar)")
+    c.executemany("insert into word values (?)", [(w,) for w in set(words)])
+    got = dict(
+        c.execute(f"""with recursive step(w, s, i, cost, n) as (
+            select w, '{token_counts.MARK}' || w, 0, 0, 0 from word
+            union all select w, s, i + length(p), step.cost + piece.cost, n + 1 from step join piece on substr(s, i + 1, length(p)) = p)
+        select w, min(struct_pack(cost := cost, n := n)).n from step where i = length(s) group by w""").fetchall()
+    )
+    assert {w: trie.insert(w) for w in words} == got
 
 
 def test_components(spark):
