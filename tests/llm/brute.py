@@ -64,6 +64,39 @@ def quality(docs):
     return out
 
 
+def verdicts(rows, weight=200):
+    """{doc_id: kept} by the rules' fences, from (doc_id, lang, source, text), with buckets of 7 leading bits."""
+    counts = quality([(d, t) for d, _, _, t in rows])
+    values = {}
+    for d, lang, source, t in rows:
+        n, chars, symbols, dups, again, _ = counts[d]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n"))
+        echo = sum(a == b for a, b in zip(w, w[1:]))
+        for name, top, factor, bottom in (("length", chars, 100, n), ("symbols", symbols, 1000, n), ("dups", dups, 1000, lines), ("again", again, 1000, n), ("echo", echo, 1000, n)):
+            if bottom:
+                values[name, d] = factor * top // bottom
+    rules = {"length": (75, 12, 5), "symbols": (75, 6, 10), "dups": (90, 2, 175), "again": (90, 2, 145), "echo": (75, 15, 2)}
+    cut = lambda x: x >> max(x.bit_length() - 7, 0) << max(x.bit_length() - 7, 0)
+    bad = {d for d, c in counts.items() if c[5]}
+    for name, (p, times, least) in rules.items():
+        def at(group):
+            x = sorted(cut(values[name, d]) for d, *_ in group if (name, d) in values)
+            return len(x), [x[-(-q * len(x) // 100) - 1] if x else 0 for q in (25, 50, p)]
+        n_all, every = at(rows)
+        for d, lang, source, _ in rows:
+            if (name, d) not in values:
+                continue
+            n_lang, by_lang = at([r for r in rows if r[1] == lang])
+            n, own = at([r for r in rows if r[1:3] == (lang, source)])
+            outer = [(n_lang * a + weight * b) // (n_lang + weight) for a, b in zip(by_lang, every)]
+            low, mid, up = ((n * a + weight * b) // (n + weight) for a, b in zip(own, outer))
+            x = values[name, d]
+            if x > up + times * max(up - mid, least) or name == "length" and x < low - times * max(mid - low, least):
+                bad.add(d)
+    return {d: d not in bad for d in counts}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())

@@ -392,7 +392,11 @@ def test_quality(spark, docs, texts, empty):
     want = brute.quality(texts.items())
     got = _rows(quality.report(docs), *cols, "kept")
     assert {k: v[:6] for k, v in got.items()} == want
-    assert not any(v[6] for k, v in got.items() if want[k][5])
+    rows = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in docs.collect()]
+    verdicts = brute.verdicts(rows)
+    assert {k: v[6] for k, v in got.items()} == verdicts and sum(verdicts.values()) > 60
+    twice = quality.report(docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:]))).collect()
+    assert len(twice) == 2 * len(texts) and sorted(r["n_words"] for r in twice if r["doc_id"] is None) == sorted(v[0] for v in want.values())
     assert quality.report(empty).count() == 0
     left = quality.accepted(docs)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {k for k, v in got.items() if v[6]}
@@ -405,18 +409,31 @@ def test_quantile_buckets(spark):
     assert [r["b"] for r in df.orderBy("x").collect()] == sorted(r["b"] for r in df.collect())
 
 
-def test_sketch_quartiles_equal_brute_force(spark):
+def test_sketch_quantiles_equal_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), rng.randint(1, 100), rng.randint(1, 100)) for _ in range(400)]
     m = spark.createDataFrame([(a, b, c, 0, 0, 1, 0) for a, b, c in rows], "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_echo long").selectExpr("*", "0L as n_repeat_words")
-    got = {(r["measure"], r["lang"]): (r["q1"], r["q3"]) for r in quality.quartiles(quality.sketches(m, ["lang"]), ["lang"]).collect()}
+    got = {(r["measure"], r["lang"]): (r["low"], r["mid"], r["up"]) for r in quality.quantiles(quality.sketches(m, ["lang"]), ["lang"]).collect()}
     for lang in "ab":
         x = sorted(100 * c // b for a, b, c in rows if a == lang)
-        for p, q in ((1, got["word_length", lang][0]), (3, got["word_length", lang][1])):
-            exact = x[-(-p * len(x) // 4) - 1]
+        for p, q in zip((25, 50, 75), got["word_length", lang]):
+            exact = x[-(-p * len(x) // 100) - 1]
             assert q <= exact <= q * (1 + 2**-6)
 
 
+def test_thresholds_follow_sources_without_a_jump(spark):
+    """A source whose texts are full of symbols gets fences of its own, and the more so the larger it is."""
+    def limits(n):
+        rows = [("en", "prose", 100, 500, 0)] * 1000 + [("en", "code", 100, 500, 20 + i % 40) for i in range(n)]
+        m = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long").selectExpr("*", "0L as n_dup_lines", "1L as n_lines", "0L as n_echo", "0L as n_repeat_words")
+        return {r["_source"]: r["symbol_rate_hi"] for r in quality.thresholds(m).collect()}
+
+    sizes = [limits(n) for n in (20, 199, 200, 900)]
+    code = [x["code"] for x in sizes]
+    assert code == sorted(code) and code[0] > sizes[0]["prose"] == 60 and code[3] > 900
+    assert abs(code[2] - code[1]) < 0.02 * code[1]
+
+
 def test_packing(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 

@@ -3,10 +3,13 @@
 One pass over the texts gives whole-number measures of each document. Their distribution is kept
 per language and source in a quantile sketch: counts of logarithmic buckets of relative width
 2**-``BITS``, exact below 2**``BITS``. Sketches of this kind merge by adding counts, so they do
-not depend on how rows are dealt out, and those of small groups are merged into their language's
-sketch and then into the whole corpus's. A document fails where a measure lies beyond the far
-fence of its group: quartile plus or minus ``FENCE`` times the interquartile range, the range
-being at least that measure's ``least``. The thresholds come back to the documents by a join.
+not depend on how rows are dealt out: those of a language's sources merge into the language's, and
+those of languages into the corpus's. The quantiles of a group are blended with its language's,
+which count as ``WEIGHT`` documents, and those with the corpus's, so that no verdict jumps at a
+size. A document fails where a measure lies further above its group's upper quantile than ``times``
+the distance from the median to that quantile, or, for the length of words, as far below the lower
+quartile. The distance is taken as ``least`` at least, for measures that most texts have none of.
+The thresholds come back to the documents by a join.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and
 sources form groups of their own; repeated rows count as often as they occur; an empty table gives
@@ -25,19 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .storage import kept
+from .storage import kept, spread
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-BITS, MIN_GROUP, FENCE = 7, 200, 6
-#: measure: (numerator, factor, denominator, least interquartile range, lower fence too)
+BITS, WEIGHT = 7, 200
+#: measure: (numerator, factor, denominator, upper percentile, times, least distance, whether too low is bad as well)
 MEASURES = {
-    "word_length": ("word_chars", 100, "n_words", 60, True),
-    "symbol_rate": ("n_symbols", 1000, "n_words", 20, False),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 150, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 40, False),
-    "echo_rate": ("n_echo", 1000, "n_words", 30, False),
+    "word_length": ("word_chars", 100, "n_words", 75, 12, 5, True),
+    "symbol_rate": ("n_symbols", 1000, "n_words", 75, 6, 10, False),
+    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 90, 2, 175, False),
+    "repeat_rate": ("n_repeat_words", 1000, "n_words", 90, 2, 145, False),
+    "echo_rate": ("n_echo", 1000, "n_words", 75, 15, 2, False),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo")
 
@@ -107,7 +110,7 @@ def base_failed() -> Column:
 
 
 def rate(name: str) -> Column:
-    top, factor, bottom, _, _ = MEASURES[name]
+    top, factor, bottom, *_ = MEASURES[name]
     return F.when(F.col(bottom) > 0, F.expr(f"({factor} * {top}) div {bottom}"))
 
 
@@ -133,27 +136,35 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy("measure", *keys, "b").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """measure, keys, total, q1, q3: a quartile is the least value of the bucket that holds rank ceil(total * p)."""
+def _by_measure(at: int) -> Column:
+    """A column of MEASURES by the row's measure."""
+    return reduce(lambda c, m: c.when(F.col("measure") == m, MEASURES[m][at]), MEASURES, F.when(F.lit(False), 0))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """measure, keys, total, low, mid, up: the 25th, 50th and the measure's upper percentile; each the least value of the bucket that holds rank ceil(total * p)."""
     upto = Window.partitionBy("measure", *keys).orderBy("b")
     whole = Window.partitionBy("measure", *keys)
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(whole)}).withColumn("v", value("b"))
-    at = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("total"), F.col("v")))
-    return ranked.groupBy("measure", *keys).agg(F.first("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("v")))
+    return ranked.groupBy("measure", *keys).agg(F.first("total").alias("total"), at(F.lit(25)).alias("low"), at(F.lit(50)).alias("mid"), at(_by_measure(3)).alias("up"))
 
 
-def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source", least: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
+def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source", weight: int = WEIGHT) -> DataFrame:
     """lang, source, and lo and hi of each measure, a row for each group."""
-    own = sketches(measures, [lang, source])
-    own_q = quartiles(own, [lang, source])
-    by_lang = quartiles(merged(own, [lang]), [lang])
-    every = quartiles(merged(own, []), [])
-    pick = lambda c: F.when(F.col("o.total") >= least, F.col(f"o.{c}")).when(F.col("l.total") >= least, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
-    q = own_q.alias("o").join(by_lang.alias("l"), (F.col("o.measure") == F.col("l.measure")) & F.col(f"o.{lang}").eqNullSafe(F.col(f"l.{lang}"))).join(every.alias("e"), F.col("o.measure") == F.col("e.measure"))
-    q = q.select(F.col("o.measure").alias("measure"), F.col(f"o.{lang}").alias("_lang"), F.col(f"o.{source}").alias("_source"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    floor = reduce(lambda c, m: c.when(F.col("measure") == m, MEASURES[m][3]), MEASURES, F.when(F.lit(False), 0))
-    wide = fence * F.greatest(F.col("q3") - F.col("q1"), floor)
-    q = q.withColumns({"lo": F.col("q1") - wide, "hi": F.col("q3") + wide})
+    sketch = sketches(measures, [lang, source])
+    own = quantiles(sketch, [lang, source]).alias("o")
+    by_lang = quantiles(merged(sketch, [lang]), [lang]).alias("l")
+    every = quantiles(merged(sketch, []), []).alias("e")
+    q = own.join(by_lang, (F.col("o.measure") == F.col("l.measure")) & F.col(f"o.{lang}").eqNullSafe(F.col(f"l.{lang}"))).join(every, F.col("o.measure") == F.col("e.measure"))
+
+    def blended(name: str) -> Column:
+        outer = f"((l.total * l.{name} + {weight} * e.{name}) div (l.total + {weight}))"
+        return F.expr(f"(o.total * o.{name} + {weight} * {outer}) div (o.total + {weight})").alias(name)
+
+    q = q.select(F.col("o.measure").alias("measure"), F.col(f"o.{lang}").alias("_lang"), F.col(f"o.{source}").alias("_source"), *map(blended, ("low", "mid", "up")))
+    far = lambda d: _by_measure(4) * F.greatest(d, _by_measure(5))
+    q = q.withColumns({"lo": F.col("low") - far(F.col("mid") - F.col("low")), "hi": F.col("up") + far(F.col("up") - F.col("mid"))})
     cols = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in MEASURES for c in ("lo", "hi")]
     return q.groupBy("_lang", "_source").agg(*cols)
 
@@ -161,7 +172,7 @@ def thresholds(measures: DataFrame, lang: str = "lang", source: str = "source",
 def judged(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Adds base_failed and kept to measured rows, by the thresholds of their groups."""
     out = F.lit(False)
-    for m, (_, _, _, _, lower) in MEASURES.items():
+    for m, (*_, lower) in MEASURES.items():
         far = rate(m) > F.col(f"{m}_hi")
         out = out | F.coalesce(far | (rate(m) < F.col(f"{m}_lo")) if lower else far, F.lit(False))
     joined = measures.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
@@ -170,7 +181,7 @@ def judged(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: s
 
 def report(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, the contract's counts, base_failed, kept."""
-    m = kept(docs.sparkSession, measured(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
+    m = kept(docs.sparkSession, measured(spread(docs.select("doc_id", "text", "lang", "source"))).drop("text"), "quality")
     return judged(m, thresholds(m)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -59,19 +59,22 @@ y AS (SELECT doc_id, s FROM x GROUP BY ALL HAVING count(*) > 1),
 z AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM x SEMI JOIN y USING (doc_id, s)) GROUP BY 1),
 c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, len(list_filter(w, lambda v, i: i > 1 AND v = w[i - 1]))::BIGINT AS n_echo FROM d LEFT JOIN z USING (doc_id)),
 """
-    rows = " UNION ALL ".join(f"SELECT '{m}' AS measure, doc_id, lang, source, {f} * {a} // {b} AS x, {least} AS least, {lower} AS lower FROM c WHERE {b} > 0" for m, (a, f, b, least, lower) in quality.MEASURES.items())
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS measure, doc_id, lang, source, {f} * {a} // {b} AS x, {p} AS p, {times} AS times, {least} AS least, {lower} AS lower FROM c WHERE {b} > 0" for m, (a, f, b, p, times, least, lower) in quality.MEASURES.items())
 
-    def quartiles(name: str, keys: str) -> str:
+    def quantiles(name: str, keys: str) -> str:
         by = f"measure{', ' + keys if keys else ''}"
-        return f"""{name} AS (SELECT {by}, any_value(total) AS total, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (4 * upto >= 3 * total) AS q3
-FROM (SELECT {by}, v, sum(count(*)) OVER (PARTITION BY {by} ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS total FROM b GROUP BY {by}, v) GROUP BY {by})"""
+        return f"""{name} AS (SELECT {by}, any_value(total)::BIGINT AS total, min(v) FILTER (100 * upto >= 25 * total)::BIGINT AS low, min(v) FILTER (100 * upto >= 50 * total)::BIGINT AS mid, min(v) FILTER (100 * upto >= p * total)::BIGINT AS up
+FROM (SELECT {by}, v, any_value(p) AS p, sum(count(*)) OVER (PARTITION BY {by} ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS total FROM b GROUP BY {by}, v) GROUP BY {by})"""
+
+    def blended(q: str) -> str:
+        w = quality.WEIGHT
+        return f"(o.total * o.{q} + {w} * ((l.total * l.{q} + {w} * e.{q}) // (l.total + {w}))) // (o.total + {w}) AS {q}"
 
-    pick = lambda q: f"CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.{q} WHEN l.total >= {quality.MIN_GROUP} THEN l.{q} ELSE e.{q} END AS {q}"
     return f"""{counts} r AS ({rows}),
 b AS (SELECT *, (x >> greatest(length(bin(x)) - {quality.BITS}, 0)::INT) << greatest(length(bin(x)) - {quality.BITS}, 0)::INT AS v FROM r),
-{quartiles("o", "lang, source")}, {quartiles("l", "lang")}, {quartiles("e", "")},
-f AS (SELECT doc_id, bool_or(x > q3 + {quality.FENCE} * greatest(q3 - q1, least) OR lower AND x < q1 - {quality.FENCE} * greatest(q3 - q1, least)) AS far
-  FROM (SELECT b.doc_id, x, least, lower, {pick("q1")}, {pick("q3")} FROM b JOIN o ON b.measure = o.measure AND b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source JOIN l ON b.measure = l.measure AND b.lang IS NOT DISTINCT FROM l.lang JOIN e ON b.measure = e.measure) GROUP BY 1)
+{quantiles("o", "lang, source")}, {quantiles("l", "lang")}, {quantiles("e", "")},
+f AS (SELECT doc_id, bool_or(x > up + times * greatest(up - mid, least) OR lower AND x < low - times * greatest(mid - low, least)) AS far
+  FROM (SELECT b.doc_id, x, times, least, lower, {blended("low")}, {blended("mid")}, {blended("up")} FROM b JOIN o ON b.measure = o.measure AND b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source JOIN l ON b.measure = l.measure AND b.lang IS NOT DISTINCT FROM l.lang JOIN e ON b.measure = e.measure) GROUP BY 1)
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND NOT coalesce(far, false) AS kept FROM c LEFT JOIN f USING (doc_id)
 """

@@ -36,7 +36,7 @@ from .storage import kept, ranges, spread
 
 MARK, UNKNOWN = "▁", 20_000
 #: pre-tokens of one trie, and pre-tokens whose counts are broadcast: a bound, not a cut, as others are joined
-TRIE, COMMON = 20_000, 100_000
+TRIE, COMMON = 20_000, 200_000
 _AS_SPACE = np.arange(256, dtype=np.uint8)
 _AS_SPACE[0x09:0x0E] = 0x20
 
