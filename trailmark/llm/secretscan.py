@@ -2,21 +2,25 @@
 
 Every text is a version of a blob, addressed by the SHA-256 of its bytes. The ledger holds a row
 for each blob and rule version scanned so far. A scan takes the blobs which the ledger has not
-seen under the current ``RULE_VERSION``, once each however many paths hold them, and its findings
-join back to all paths. Copies are dropped twice: in each input partition before the shuffle, so
+seen under the current ``RULE_VERSION``, once each however many paths hold them, and appends its rows
+to the ledger, of which those with findings join back to all paths. A ledger is a folder of Parquet
+files that later runs are given again; a run that names none has one of its own. Copies are dropped twice: in each input partition before the shuffle, so
 that a blob with a third of all rows sends one row from each, and again after it. Texts are
 shuffled once, by their address.
 
 Rules ``assign``, ``access`` and ``hex`` are the base; ``pem``, ``jwt`` and ``url`` add spans.
 
 Defined results: null texts count as empty; empty texts hold nothing; a path that is repeated
-appears as often; spans are of code points, ends exclusive; an empty ledger means a full scan.
+appears as often; spans are of code points, ends exclusive; an absent or empty ledger means a full
+scan; a blob that two runs add at once has two equal rows in the ledger and counts once; other
+columns pass through ``redacted``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RULE_VERSION = 1
+from .storage import folder, kept, split, spread
+
+RULE_VERSION = 2
 #: kind: pattern, group whose length counts, least length; in the order in which kinds are listed
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 6),
@@ -32,9 +38,9 @@ BASE = {
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),  # shorter runs fail in any case
 }
 MORE = {
-    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]+?-----END [A-Z ]*PRIVATE KEY-----"), 0, 1),
     "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 1),
-    "url": (re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"), 0, 1),
+    "url": (re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]++@"), 0, 1),
 }
 #: what a text must hold for a rule to be tried; "assign" needs one of these in any case
 NEEDS = {"access": "AKIA", "pem": "PRIVATE KEY", "jwt": "eyJ", "url": "://"}
@@ -91,41 +97,50 @@ def unseen(paths: DataFrame, ledger: DataFrame | None, text: str = "text") -> Da
     return blobs.repartition("blob").mapInArrow(_scanned, _LEDGER)
 
 
-def findings(paths: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """Adds ``findings`` to every path, from the ledger and a scan of what it lacks."""
-    rows = unseen(paths, ledger, text)
-    if ledger is not None:
-        rows = rows.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "findings"))
-    some = rows.where(F.size("findings") > 0).select("blob", "findings")
-    own = paths.drop("findings").withColumn("blob", address(text))
-    return own.join(some, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(T.ArrayType(_FINDING)))).drop("blob")
+def updated(paths: DataFrame, ledger: str | None = None, text: str = "text") -> DataFrame:
+    """The ledger in this folder, after a scan of the blobs which it lacked; without a folder, a new one for this run."""
+    spark = paths.sparkSession
+    at = ledger or f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
+    old = None
+    if ledger:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            old = spark.read.schema(_LEDGER).parquet(at)
+    unseen(spread(paths), old, text).write.mode("append").parquet(at)
+    return spark.read.schema(_LEDGER).parquet(at)
+
+
+def _some(ledger: DataFrame) -> DataFrame:
+    """blob, findings of blobs that hold secrets."""
+    return ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each document."""
     own = docs.select("doc_id", address().alias("blob"))
-    some = unseen(docs, None).where(F.size("findings") > 0).select("blob", "findings")
+    some = _some(updated(docs.select("text"), ledger))
     f = F.coalesce(F.col("findings"), F.array().cast(T.ArrayType(_FINDING)))
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter(f, lambda x: x["kind"] == kind)).cast("long")
     base = F.filter(f, lambda x: x["kind"].isin(*BASE))
-    return own.join(some, "blob", "left").select(
-        "doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(f).alias("spans")
-    )
+    return own.join(some, "blob", "left").select("doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(f).alias("spans"))
 
 
-def redacted(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """All documents, each span of a secret replaced by its kind in brackets. Texts without secrets stay as they are."""
-    found = findings(docs.toDF(*(names := [f"c{i}" for i in range(len(docs.columns))])), ledger, names[docs.columns.index(text)])
-    own = names[docs.columns.index(text)]
+def redacted(docs: DataFrame, ledger: str | None = None, text: str = "text") -> DataFrame:
+    """All documents, each span of a secret replaced by its kind in brackets. Texts without secrets stay as they are, and where they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    here = names[docs.columns.index(text)]
+    some = kept(docs.sparkSession, _some(updated(docs.select(F.col(text).alias("text")), ledger)), "findings")
+    sure, maybe = split(docs.toDF(*names).withColumn("blob", address(here)), some, "blob")
+    found = maybe.join(some, "blob", "left").select(*names, "findings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [t if not f else redact(t, [(x["kind"], x["start"], x["end"]) for x in f]) for t, f in zip(batch.column(own).to_pylist(), batch.column("findings").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == own else batch.column(c) for c in names], names)
+            out = [t if not f else redact(t, [(x["kind"], x["start"], x["end"]) for x in f]) for t, f in zip(batch.column(here).to_pylist(), batch.column("findings").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == here else batch.column(c) for c in names], names)
 
-    schema = T.StructType([f for f in found.schema.fields if f.name != "findings"])
-    return found.select(*names, "findings").mapInArrow(run, schema).toDF(*docs.columns)
+    changed = found.mapInArrow(run, T.StructType([f for f in found.schema.fields if f.name != "findings"]))
+    return sure.select(*names).unionByName(changed).toDF(*docs.columns)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:

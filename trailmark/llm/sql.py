@@ -83,7 +83,7 @@ SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
 def _secrets() -> str:
     kinds = []
     for rank, (kind, (pattern, group, least)) in enumerate([*secretscan.BASE.items(), *secretscan.MORE.items()]):
-        p = ("(?i)" if kind == "assign" else "") + pattern.pattern.replace("'", "''")
+        p = ("(?i)" if kind == "assign" else "") + pattern.pattern.replace("'", "''").replace("++", "+")  # RE2 never goes back, so needs no possessive marks
         # matches lie between the parts that they split the text into
         kinds.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, list_sum(list_transform(s[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS a, length(m[i]) AS size, length(g[i]) AS len, {least} AS least
 FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS s, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d)""")
