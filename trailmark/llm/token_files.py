@@ -12,12 +12,12 @@ entries gives a symbol and its length for any position. A file folder holds
 
 Decoding starts at all checkpoints of a block at once and takes one id from each at every step.
 
-Writing sorts texts by doc_id once (range partitions), encodes them, counts ids as it goes, and
+Writing sorts texts by doc_id once, in ranges as many as their bytes ask for, encodes them, counts ids as it goes, and
 codes the ids in a second pass over what it has stored. Only id counts (at most 65,536) and the
 number of ids of each range come to the driver.
 
 Defined results: null and empty texts have the end id alone; documents that share a doc_id follow
-one another in order of their texts; rows with a null doc_id come first; an empty table gives no
+one another in order of a hash of their texts, by which many of them are dealt out as well; rows with a null doc_id come first; an empty table gives no
 blocks, and reading it gives no rows.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .encode import ENCODE_BYTES, encoder
-from .storage import folder, kept
+from .storage import folder, kept, ranges
 
 LONGEST, STEP, END = 16, 256, 0
 KEEP = 800_000  # words whose ids a worker keeps
@@ -171,8 +171,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
     """Encodes all texts, each followed by the end id, and writes them in ascending order of doc_id."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+    own = own.repartitionByRange(ranges(docs, "octet_length(text)"), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     stored = kept(spark, own.mapInArrow(_stored(vocabulary, end), _STORED.format(kind)), "token-ids")
     counts = stored.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     code = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # at most 65,536 rows
