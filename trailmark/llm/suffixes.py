@@ -16,10 +16,13 @@ Passages of ``PASSAGE`` words or more that occur more than once, in one document
 
 A suffix of step 3 carries the words that a match needs, up to ``PASSAGE`` to the right and the rest of its
 window to the left, as hashes of 32 bits; longer matches are marked through their other suffixes.
+Words are compared by these hashes: the first ``GRAM`` words by 64 bits together, the others by 31
+bits each. Two windows that differ in one word pass for equal with a chance of 2**-31, and only if
+all else, their key included, agrees; windows of frequent keys are equal by a 64-bit hash.
 
 Defined results: null, empty and short texts have no passages; repeated rows repeat each other's
 passages; rows that share a doc_id share marks; null doc_ids are left out of the search and have no
-marks; an empty table gives no rows.
+marks; an empty table gives no rows. doc_id is a whole number; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .storage import kept
+from .storage import kept, ranges, spread
 
 PASSAGE, GRAM, HOT = 50, 8, 2000
 #: rows that are compared at once, but for a single key with more
@@ -181,16 +184,16 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_words, keys of every document; doc_id, start, end of places that repeat another)"""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sparse = kept(spark, docs.mapInArrow(_sparse, "doc_id long, n_words long, keys array<long>"), "sparse")
+    sparse = kept(spark, spread(docs).mapInArrow(_sparse, "doc_id long, n_words long, keys array<long>"), "sparse")
     each = sparse.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
     again = kept(spark, each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     hot = F.col("n") > HOT
     own = each.join(again, "key").groupBy("doc_id").agg(*(F.collect_set(F.when(some, F.col("key"))).alias(name) for name, some in (("keys", ~hot), ("hot_keys", hot))))
     suffixes = docs.join(own, "doc_id").mapInArrow(_suffixes, "key long, right binary, left binary, doc_id long, pos long, hot boolean")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = kept(spark, suffixes, "suffixes")
+    parts = ranges(rows.where("not hot"), f"{4 * (PASSAGE + _LEFT) + 32}L", 32 << 20)
     place = "doc_id long, start long, end long"
-    found = rows.where("not hot").select(*_COLUMNS).repartition(ranges, "key").sortWithinPartitions("key").mapInArrow(_whole_keys, place)
+    found = rows.where("not hot").select(*_COLUMNS).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_whole_keys, place)
     if again.where(hot).limit(1).count():
         windows = rows.where("hot").select("key", "doc_id", "pos")
         twice = kept(spark, windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")  # read again, so that AQE can split the join
