@@ -8,12 +8,14 @@ pattern at a time, so that the number of patterns is bounded by the lengths and
 documents. Where packs leave ``LEAST`` ids or more open, the emptiest of them are taken apart and
 their pieces, end to end, are cut to fill the others: see ``dissolved``. Documents find their place
 by rank: the pieces of one length are numbered without gaps, in groups of about
-``GROUP`` so that a frequent length is no single task, and the number's place in the list of
+``GROUP`` (or more, where a length would have over ``GROUPS`` of them) so that a frequent length is
+no single task, and the number's place in the list of
 patterns gives sequence and offset.
 
 Sequences of a power of two ids need no padding.
 
-Defined results: null and empty texts have the end id alone; repeated rows are packed each; an
+Defined results: null and empty texts have the end id alone; repeated rows are packed each, and are
+told apart by a number that they are written with; other columns are not read; an
 empty table gives no pieces. Rows with a null doc_id are packed as others are.
 """
 
@@ -26,14 +28,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
 from .encode import ENCODE_BYTES, encoder
-from .storage import kept
+from .storage import kept, spread
 
-SEQUENCE, END, GROUP = 2048, 1, 2000
+SEQUENCE, END, GROUP, GROUPS = 2048, 1, 2000, 10_000
 #: room in a pack that is filled by cutting; less than this is under 1 % of a sequence
 LEAST = 20
 
@@ -104,7 +107,7 @@ def padding(used: int, size: int = SEQUENCE) -> int:
 
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, at_all = encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, part in X.slices(batch.column("text"), ENCODE_BYTES):
                 rows: list[list] = [[], [], [], [], [], []]
@@ -116,7 +119,9 @@ def _pieces(path: str, size: int):
                         for c, v in zip(rows, (row, start, len(piece), zlib.crc32(piece.tobytes()), len(all_ids), narrow), strict=True):
                             c.append(v)
                 own = batch.column("doc_id").slice(at, len(part)).take(pa.array(rows[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in rows[1:-1]), pa.array(rows[-1], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                numbers = pa.array(np.arange(at_all, at_all + len(own)), pa.int64())
+                at_all += len(own)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in rows[1:-1]), pa.array(rows[-1], pa.binary()), numbers], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "piece"])
 
     return run
 
@@ -186,20 +191,20 @@ def _placed(slots: dict[int, np.ndarray], room: np.ndarray):
 
 
 def ranked(pieces: DataFrame, histogram: dict[int, int], group: int = GROUP) -> DataFrame:
-    """Adds ``rank``: the pieces of each length numbered from 0, without gaps, through groups of about ``group`` pieces of one length."""
-    parts = F.create_map(*(F.lit(x) for k, n in histogram.items() for x in (k, -(-n // group)))) if histogram else F.create_map()
-    own = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.coalesce(F.try_element_at(parts, F.col("length").cast("int")), F.lit(1)).cast("long")))
+    """Adds ``rank``: the pieces of each length numbered from 0, without gaps, through groups of about ``group`` pieces of one length. ``piece`` tells equal rows apart."""
+    parts = F.create_map(*(F.lit(x) for k, n in histogram.items() for x in (k, min(GROUPS, -(-n // group))))) if histogram else F.create_map()
+    own = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "piece"), F.coalesce(F.try_element_at(parts, F.col("length").cast("int")), F.lit(1)).cast("long")))
     sizes = own.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "piece")
     return own.withColumn("within", F.row_number().over(within) - 1).join(sizes, ["length", "part"]).withColumn("rank", (F.col("before") + F.col("within")).cast("long")).drop("part", "before", "within")
 
 
 def packed(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     columns = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long".format(docs.schema["doc_id"].dataType.simpleString())
-    pieces = kept(docs.sparkSession, docs.select("doc_id", "text").mapInArrow(_pieces(path, size), columns + ", ids binary"), "pieces")
+    pieces = kept(docs.sparkSession, spread(docs.select("doc_id", "text")).mapInArrow(_pieces(path, size), columns + ", ids binary, piece long"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     stay, apart = dissolved(patterns(histogram, size), size)
     slots, room = _slots(stay, apart, size)
