@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.llm import decontam, encode, html_text, neardup, packing, preference, quality, queries, secretscan, suffixes, textops, token_counts, token_files
 
@@ -229,14 +230,35 @@ def test_secrets(spark, docs, texts, empty):
     assert secretscan.unseen(docs, ledger).count() == 0
     old = ledger.selectExpr("blob", "rule_version - 1 as rule_version", "findings")
     assert secretscan.unseen(docs, old).count() == ledger.count()
-    with_ledger = {r["doc_id"]: len(r["findings"]) for r in secretscan.findings(docs, ledger).collect()}
-    assert with_ledger == {r["doc_id"]: len(r["findings"]) for r in secretscan.findings(docs).collect()}
+    assert secretscan.unseen(docs, ledger.where("false")).count() == ledger.count()
     red = secretscan.redacted(docs)
     assert red.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in red.collect()}
     assert "abc123def" not in got[83] and "deadbeef" not in got[83] and all(got[k] == texts[k] for k in texts if want[k][:3] == (0, 0, 0))
 
 
+def test_ledger_grows_by_what_is_new(spark, docs, texts, tmp_path):
+    at, cols = f"file://{tmp_path}/ledger", ("n_assign", "n_access", "n_hex", "base_sha256")
+    some, want = docs.where("doc_id < 50"), brute.secrets(texts.items())
+    assert _rows(secretscan.report(some, at), *cols) == {k: v for k, v in want.items() if k < 50}
+    first = spark.read.parquet(at).count()
+    assert first == len({t or "" for k, t in texts.items() if k < 50})
+    assert _rows(secretscan.report(docs, at), *cols) == want
+    assert _rows(secretscan.report(docs, at), *cols) == want  # nothing is left to scan
+    ledger = spark.read.parquet(at)
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for t in texts.values()})
+    old = f"file://{tmp_path}/old"  # of rules that are no longer those
+    ledger.selectExpr("blob", "rule_version - 1 as rule_version", "cast(array() as array<struct<kind:string,start:bigint,end:bigint>>) as findings").write.parquet(old)
+    assert _rows(secretscan.report(docs, old), *cols) == want
+
+
+def test_added_kinds_have_no_bounds():
+    url = "see https://oauth2:" + "Z9" * 60 + "@host/x and http://host/a:b@c"
+    assert [(k, url[a:b]) for k, a, b in secretscan.scan(url)] == [("url", url[4 : url.index("@") + 1])]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    assert [(k, a, b) for k, a, b in secretscan.scan(f"x {key} y {key}") if k == "pem"] == [("pem", 2, 2 + len(key)), ("pem", 5 + len(key), 5 + 2 * len(key))]
+
+
 def test_near_duplicates(spark, docs, texts, empty):
     cols = ("n_shingles", "component_id", "kept")
     want = brute.duplicates(texts.items())
@@ -534,9 +556,9 @@ def test_cut_pieces_keep_their_ids(spark):
 
 def test_ranks_have_no_gaps(spark):
     rows = [(i, 0, 7 if i % 3 else 9, i) for i in range(500)]
-    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long")
-    got = packing.ranked(df, {7: 333, 9: 167}, group=20).collect()
-    for length in (7, 9):
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long").unionByName(spark.range(400).selectExpr("7L as doc_id", "0L as start", "5L as length", "1L as ids_crc32")).withColumn("piece", F.monotonically_increasing_id())
+    got = packing.ranked(df, {7: 333, 9: 167, 5: 400}, group=20).collect()
+    for length in (7, 9, 5):
         own = sorted(r["rank"] for r in got if r["length"] == length)
         assert own == list(range(len(own)))
 

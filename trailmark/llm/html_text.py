@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import spread
+
 WINDOW, SURGE, DIVE = 3, 80, 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
@@ -247,7 +249,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = [extract(p) for p in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return own.mapInArrow(run, T.StructType([*(f for f in own.schema.fields if f.name != html), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return spread(own).mapInArrow(run, T.StructType([*(f for f in own.schema.fields if f.name != html), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def report(pages: DataFrame) -> DataFrame:
