@@ -39,6 +39,8 @@ def test_ranges_follow_bytes(spark):
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert storage.ranges(df, "octet_length(text)") == base
     assert storage.ranges(df, "octet_length(text)", 1000) == 100
+    written = storage.kept(spark, spark.range(100_000), "numbers")
+    assert storage.ranges(written, most=1000) > 100 and storage.ranges(written) == base
     assert storage.ranges(df.where("false"), "octet_length(text)") == base
 
 

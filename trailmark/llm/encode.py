@@ -26,6 +26,16 @@ _ODD = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x202
 _encoders: dict[str, Encoder] = {}
 
 
+def _steady(letter: str) -> bool:
+    """A letter that normalisation and folding leave one letter, so that a mark after it is a word of its own."""
+    low = letter.lower()
+    return letter.isalpha() and len(low) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", letter) and unicodedata.is_normalized("NFC", low)
+
+
+#: such letters of the Latin script; words that end in others are encoded as they are
+STEADY = frozenset(filter(_steady, map(chr, range(0x250))))
+
+
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
@@ -62,20 +72,35 @@ class Encoder:
         return out
 
     def _ids(self, words: list[str], kept: dict[str, bytes], before: str) -> list[bytes]:
-        """Ids of distinct words: those at the end of sentences are put together from the word's and the mark's."""
-        found = list(map(kept.get, words))
-        new = [w for w, f in zip(words, found, strict=True) if f is None]
-        if not new:
-            return found
-        ended = [w for w in new if w[-1:] in self.marks and _steady(w[-2:-1])]
-        stems = [w[:-1] for w in ended]
-        todo = list(set(new).difference(ended).union(s for s in stems if s not in kept))
-        own = dict(zip(todo, self._new(todo, before), strict=True))
-        for w, s in zip(ended, stems, strict=True):
-            own[w] = (own[s] if s in own else kept[s]) + self.marks[w[-1]]
-        if len(kept) + len(own) <= self.keep:
+        """Ids of words: those at the end of sentences are put together from the word's and the mark's."""
+        out = list(map(kept.get, words))
+        ended: list[tuple[int, str, bytes]] = []
+        plain: list[int] = []
+        todo: dict[str, None] = {}
+        for at, found in enumerate(out):
+            if found is None:
+                w = words[at]
+                if (mark := self.marks.get(w[-1:])) is not None and w[-2:-1] in STEADY:
+                    stem = w[:-1]
+                    ended.append((at, stem, mark))
+                    if stem not in kept:
+                        todo[stem] = None
+                else:
+                    plain.append(at)
+                    todo[w] = None
+        if not plain and not ended:
+            return out
+        new = list(todo)
+        own = dict(zip(new, self._new(new, before), strict=True))
+        for at in plain:
+            out[at] = own[words[at]]
+        for at, stem, mark in ended:
+            ids = own.get(stem)
+            out[at] = (kept[stem] if ids is None else ids) + mark
+        if len(kept) + len(own) + len(ended) <= self.keep:
             kept.update(own)
-        return [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            kept.update((words[at], out[at]) for at, _, _ in ended)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 16-bit numbers. Give a few MB at a time."""
@@ -118,11 +143,6 @@ class Encoder:
         return out
 
 
-def _steady(letter: str) -> bool:
-    """A letter that normalisation and folding leave one letter, so that a mark after it is a word of its own."""
-    return letter.isalpha() and (letter.isascii() or len(low := letter.lower()) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", letter) and unicodedata.is_normalized("NFC", low))
-
-
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: its own where it is visible in Latin-1, else from 256 on in order."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

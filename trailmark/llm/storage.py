@@ -52,9 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def ranges(df: DataFrame, size: str, most: int = PARTITION_BYTES) -> int:
-    """Partitions for a shuffle of ``df``: as many as the session has, or more so that none holds over ``most`` of the bytes that the expression ``size`` adds up to."""
-    total = df.agg(F.sum(F.expr(size)).alias("n")).first()["n"] or 0
+def ranges(df: DataFrame, size: str | None = None, most: int = PARTITION_BYTES) -> int:
+    """Partitions for a shuffle of ``df``: as many as the session has, or more so that none holds over ``most`` of the bytes that the expression ``size`` adds up to.
+
+    Without an expression the bytes are those that the plan's statistics tell, which read nothing: for a table in files, the files'.
+    """
+    if size:
+        total = df.agg(F.sum(F.expr(size)).alias("n")).first()["n"] or 0
+    else:
+        total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
 
 

@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .encode import ENCODE_BYTES, encoder
+from .encode import encoder
 from .storage import folder, kept, ranges
 
 LONGEST, STEP, END = 16, 256, 0
-KEEP = 800_000  # words whose ids a worker keeps
+KEEP, SLICE = 800_000, 4 << 20  # words whose ids a worker keeps, and bytes of text that it encodes at once
+FILE_BYTES = 64 << 20  # of a table's files, compressed as they are, for a range
 _U = np.uint64
 
 
@@ -134,7 +135,7 @@ def _stored(path: str, end: int):
         names = ["part", "seg", "before", "doc_ids", "n_tokens", "ids", "counts"]
         for batch in batches:
             kind = batch.column("doc_id").type
-            for at, texts in X.slices(batch.column("text"), ENCODE_BYTES):
+            for at, texts in X.slices(batch.column("text"), SLICE):
                 own = [np.append(x, np.uint16(end)) for x in enc.encode(texts.to_pylist())]
                 flat = np.concatenate(own)
                 counts += np.bincount(flat, minlength=1 << 16)
@@ -172,7 +173,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    own = own.repartitionByRange(ranges(docs, "octet_length(text)"), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    own = own.repartitionByRange(ranges(docs, most=FILE_BYTES), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     stored = kept(spark, own.mapInArrow(_stored(vocabulary, end), _STORED.format(kind)), "token-ids")
     counts = stored.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     code = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # at most 65,536 rows
