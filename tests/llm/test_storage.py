@@ -40,7 +40,8 @@ def test_ranges_follow_bytes(spark):
     assert storage.ranges(df, "octet_length(text)") == base
     assert storage.ranges(df, "octet_length(text)", 1000) == 100
     written = storage.kept(spark, spark.range(100_000), "numbers")
-    assert storage.ranges(written, most=1000) > 100 and storage.ranges(written) == base
+    assert storage.ranges(written, "8", 1000, planned=True) > 100 and storage.ranges(written, "8", planned=True) == base
+    assert storage.ranges(spark.createDataFrame([(1,)] * 50, "a long"), "1000", 1000, planned=True) == 50
     assert storage.ranges(df.where("false"), "octet_length(text)") == base
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 #: bytes that a partition of a shuffle should hold
 PARTITION_BYTES = 128 << 20
+#: Spark plans rows of unknown size with more bytes than this
+_UNKNOWN = 1 << 60
 
 
 def folder(spark: SparkSession) -> str:
@@ -52,15 +54,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def ranges(df: DataFrame, size: str | None = None, most: int = PARTITION_BYTES) -> int:
+def ranges(df: DataFrame, size: str, most: int = PARTITION_BYTES, planned: bool = False) -> int:
     """Partitions for a shuffle of ``df``: as many as the session has, or more so that none holds over ``most`` of the bytes that the expression ``size`` adds up to.
 
-    Without an expression the bytes are those that the plan's statistics tell, which read nothing: for a table in files, the files'.
+    Where ``planned``, the bytes are those that the plan's statistics tell, which reads nothing (for a table in files, the files' bytes), if they are known.
     """
-    if size:
+    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if planned else _UNKNOWN
+    if total >= _UNKNOWN:
         total = df.agg(F.sum(F.expr(size)).alias("n")).first()["n"] or 0
-    else:
-        total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
 
 

@@ -173,7 +173,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    own = own.repartitionByRange(ranges(docs, most=FILE_BYTES), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    own = own.repartitionByRange(ranges(docs, "octet_length(text)", FILE_BYTES, planned=True), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     stored = kept(spark, own.mapInArrow(_stored(vocabulary, end), _STORED.format(kind)), "token-ids")
     counts = stored.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     code = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # at most 65,536 rows
