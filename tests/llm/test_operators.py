@@ -114,7 +114,7 @@ def test_encoder_equals_the_library(texts, name):
     from tokenizers import Tokenizer
 
     path = queries.vocabulary(name)
-    own = [t or "" for t in texts.values()] + ["  a  b", " a", "a ", "a\nb", "\n", "x\n\ny", "the..", "x.\n", "éa é", "a \n b", "don't.", "\ta"]
+    own = [t or "" for t in texts.values()] + ["  a  b", " a", "a ", "a\nb", "\n", "x\n\ny", "the..", "x.\n", "éa é", "a \n b", "don't.", "\ta", "a", "", "\n", " ", "x<", "|y", "<|endoftext|>", "a\u00a0b", "\u00e9\u2003", "\u201cq\u201d", "\u3000", "\ufeffx", "\u20ac 5", "\u4e00\u3001"]
     t = Tokenizer.from_file(path)
     assert [x.tolist() for x in encode.encoder(path).encode(own)] == [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
 

@@ -16,12 +16,36 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import textops as X
+
 KEEP = 400_000
 #: text that is encoded at once: more would share more words and take more memory
 ENCODE_BYTES = 2 << 20
-#: white space other than the space and the line end, and combinations of those, and the start of special tokens
-_ASCII_ODD = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_ODD = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+#: bytes that may start white space other than the space and the line end, or a special token
+_LEADS = np.zeros(256, bool)
+_LEADS[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_LEADS[0x0A] = False
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x0A, 0x20]] = True
+#: what they start, where it is longer than a byte
+_ODD = frozenset([b"<|", *(chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))])
+
+
+def _odd(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts in which the split is not certain, by their bytes."""
+    at = np.flatnonzero(_LEADS[data])
+    lead = data[at]
+    single = at[lead < 0x20]
+    rest = at[lead >= 0x20]
+    end = np.minimum(rest + np.where(data[rest] < 0xE0, 2, 3), len(data))
+    raw = data.tobytes() if len(rest) else b""
+    longer = [i for i, j in zip(rest.tolist(), end.tolist(), strict=True) if raw[i:j] in _ODD]
+    blank = _BLANK[data]
+    both = np.flatnonzero(blank[:-1] & blank[1:]) if len(data) else single
+    both = both[np.searchsorted(off, both, "right") == np.searchsorted(off, both + 1, "right")]  # in one text
+    places = np.concatenate((single, np.array(longer, np.int64), both))
+    return np.unique(np.searchsorted(off, places, "right") - 1)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -102,16 +126,19 @@ class Encoder:
             kept.update((words[at], out[at]) for at, _, _ in ended)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as little-endian unsigned 16-bit numbers. Give a few MB at a time."""
-        out: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
-        odd = [i for i, t in enumerate(texts) if any(x in t for x in _ASCII_ODD) or not t.isascii() and any(x in t for x in _ODD)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text, as little-endian unsigned 16-bit numbers. Give a few MB at a time; nulls are not taken."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        out: list[np.ndarray] = [np.zeros(0, "<u2")] * len(column)
+        odd = _odd(*X.raw(column))
+        for i, ids in zip(odd.tolist(), self.whole(column.take(pa.array(odd)).to_pylist()), strict=True):
             out[i] = ids
-        certain = sorted(set(range(len(texts))).difference(odd))
-        if not certain:
+        certain = np.setdiff1d(np.arange(len(column)), odd)
+        if not len(certain):
             return out
-        column = pa.array([texts[i] for i in certain], pa.large_string())
+        if len(odd):
+            column = column.take(pa.array(certain))
+        certain = certain.tolist()
         split = pc.split_pattern(pc.replace_substring(column, "\n", " " if self.folds else " \n "), " ")
         ptr = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()

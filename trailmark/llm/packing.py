@@ -111,7 +111,7 @@ def _pieces(path: str, size: int):
         for batch in batches:
             for at, part in X.slices(batch.column("text"), ENCODE_BYTES):
                 rows: list[list] = [[], [], [], [], [], []]
-                for row, ids in enumerate(enc.encode(part.to_pylist())):
+                for row, ids in enumerate(enc.encode(part)):
                     all_ids = np.append(ids, END).astype("<u4")
                     for start in range(0, len(all_ids), size):
                         piece = all_ids[start : start + size]

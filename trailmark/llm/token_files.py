@@ -136,7 +136,7 @@ def _stored(path: str, end: int):
         for batch in batches:
             kind = batch.column("doc_id").type
             for at, texts in X.slices(batch.column("text"), SLICE):
-                own = [np.append(x, np.uint16(end)) for x in enc.encode(texts.to_pylist())]
+                own = [np.append(x, np.uint16(end)) for x in enc.encode(texts)]
                 flat = np.concatenate(own)
                 counts += np.bincount(flat, minlength=1 << 16)
                 yield row(batch.column("doc_id").slice(at, len(texts)), [len(x) for x in own], pack.compress(flat.astype("<u2").tobytes()), None)
