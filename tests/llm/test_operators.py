@@ -93,7 +93,7 @@ def test_decontamination(spark, docs, texts, empty):
     assert not brute.contamination([(k, cut[k]) for k in want if want[k][4] and k == 5], items[3:4])[5][4]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 3000])
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 3000, 65_535, 65_536, 65_537, 200_001])
 def test_huffman_round_trip(n):
     ids = np.minimum(np.random.RandomState(n).geometric(0.02, n), 60_000).astype(np.uint16)
     code = token_files.Code(token_files.code_lengths(Counter(ids.tolist())))

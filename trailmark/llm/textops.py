@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # so that the arrays of a slice stay in a core's cache
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back at once
 
 _U = np.uint64

@@ -39,6 +39,7 @@ from .storage import folder, kept, ranges
 
 LONGEST, STEP, END = 16, 256, 0
 KEEP, SLICE = 800_000, 4 << 20  # words whose ids a worker keeps, and bytes of text that it encodes at once
+AT_ONCE = 256 * STEP  # ids that are coded at once
 FILE_BYTES = 64 << 20  # of a table's files, compressed as they are, for a range
 _U = np.uint64
 
@@ -84,20 +85,24 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Bits and checkpoints."""
-        n, c = self.lengths[ids].astype(np.int64), self.codes[ids]
-        end = np.cumsum(n)
-        start = end - n
-        words = np.zeros((int(end[-1]) >> 6) + 2 if len(ids) else 1, _U)
-        word, over = start >> 6, (start & 63) + n - 64  # bits of the code that reach into the next word
-        inside = np.where(over > 0, c >> np.maximum(over, 0).astype(_U), c << np.maximum(-over, 0).astype(_U))
-        if len(ids):
+        if not len(ids):
+            return b"", b""
+        words = np.zeros((int(self.lengths[ids].sum(dtype=np.int64)) >> 6) + 2, _U)
+        marks, bit = [], 0
+        for at in range(0, len(ids), AT_ONCE):
+            part = ids[at : at + AT_ONCE]
+            n, c = self.lengths[part].astype(np.int64), self.codes[part]
+            end = np.cumsum(n) + bit
+            start = end - n
+            bit = int(end[-1])
+            word, over = start >> 6, (start & 63) + n - 64  # bits of the code that reach into the next word
+            inside = np.where(over > 0, c >> np.maximum(over, 0).astype(_U), c << np.maximum(-over, 0).astype(_U))
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            words[word[first]] = np.bitwise_or.reduceat(inside, first)
+            words[word[first]] |= np.bitwise_or.reduceat(inside, first)
             split = np.flatnonzero(over > 0)
             words[word[split] + 1] |= c[split] << (64 - over[split]).astype(_U)
-        marks = start[::STEP]
-        size = (int(end[-1]) + 7) // 8 if len(ids) else 0
-        return words.astype(">u8").tobytes()[:size], np.diff(marks, prepend=0).astype("<u4").tobytes()
+            marks.append(start[::STEP])
+        return words.astype(">u8").tobytes()[: (bit + 7) // 8], np.diff(np.concatenate(marks), prepend=0).astype("<u4").tobytes()
 
     def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The n ids of a block."""
