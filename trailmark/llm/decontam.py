@@ -73,9 +73,11 @@ class Hashes:
             at = np.arange(len(own))
             if known is not None:
                 if k not in self.maybe:  # a map of the upper bits tells most windows apart at once
-                    self.maybe[k] = np.zeros(1 << 22, bool)
-                    self.maybe[k][known >> np.uint64(42)] = True
-                at = np.flatnonzero(self.maybe[k][own >> np.uint64(42)])
+                    bits = min(22, max(12, 6 + len(known).bit_length()))
+                    self.maybe[k] = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+                    self.maybe[k][1][known >> self.maybe[k][0]] = True
+                shift, there = self.maybe[k]
+                at = np.flatnonzero(there[own >> shift])
                 at = at[known[np.minimum(np.searchsorted(known, own[at]), len(known) - 1)] == own[at]]
             at = at[w.doc[at] == w.doc[at + k - 1]]
             out[k] = at, own[at]

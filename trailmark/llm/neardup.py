@@ -44,7 +44,7 @@ from .storage import kept
 SHINGLE, ROWS, BANDS, MANTISSA = 5, 8, 40, 10
 K = ROWS * BANDS
 #: members and bytes of a block of full sets, and members of a block of registers
-BLOCK, BLOCK_BYTES, NEAR_BLOCK = 128, 8 << 20, 1024
+BLOCK, BLOCK_BYTES, NEAR_BLOCK = 128, 8 << 20, 512
 _MUL = np.random.RandomState(11).randint(0, 1 << 62, K, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: an estimate this many standard errors below the threshold rules a pair out
 MARGIN = 6

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .encode import ENCODE_BYTES, encoder
+from .encode import ENCODE_BYTES, KEEP, encoder
 from .storage import kept, spread
 
 SEQUENCE, END, GROUP, GROUPS = 2048, 1, 2000, 10_000
@@ -105,9 +105,9 @@ def padding(used: int, size: int = SEQUENCE) -> int:
     return 0 if used & (used - 1) == 0 else size - used
 
 
-def _pieces(path: str, size: int):
+def _pieces(path: str, size: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at_all = encoder(path), TaskContext.get().partitionId() << 40
+        enc, at_all = encoder(path, keep), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, part in X.slices(batch.column("text"), ENCODE_BYTES):
                 rows: list[list] = [[], [], [], [], [], []]
@@ -201,10 +201,10 @@ def ranked(pieces: DataFrame, histogram: dict[int, int], group: int = GROUP) ->
     return own.withColumn("within", F.row_number().over(within) - 1).join(sizes, ["length", "part"]).withColumn("rank", (F.col("before") + F.col("within")).cast("long")).drop("part", "before", "within")
 
 
-def packed(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, path: str, size: int = SEQUENCE, keep: int = KEEP) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A Python worker keeps the ids of ``keep`` words."""
     columns = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long".format(docs.schema["doc_id"].dataType.simpleString())
-    pieces = kept(docs.sparkSession, spread(docs.select("doc_id", "text")).mapInArrow(_pieces(path, size), columns + ", ids binary, piece long"), "pieces")
+    pieces = kept(docs.sparkSession, spread(docs.select("doc_id", "text")).mapInArrow(_pieces(path, size, keep), columns + ", ids binary, piece long"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     stay, apart = dissolved(patterns(histogram, size), size)
     slots, room = _slots(stay, apart, size)

@@ -8,6 +8,7 @@ belong to words, so byte runs and character runs are the same.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +57,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which a worker that lives on would keep otherwise."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) of the column, without nulls, of at most ``most`` bytes or one text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -65,6 +74,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield at, column.slice(at, to - at)
         at = to
+    give_back()
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
