@@ -45,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), keep=150_000)  # workers hold what the other stages left as well
 
 
 STAGES: list[tuple[str, Stage]] = [
