@@ -2,10 +2,10 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
 and Beyond", 2014). A step is a minimum per node, taken with map-side combination, and a join back
-to the links, whose rows for one node are dealt out to ``SALTS`` tasks, so that a node that a third
-of the links share is no single task's. Before each step every task replaces the links that it holds
-by a forest of stars with the same components, which shortens chains. Each round is written to the
-shared folder, so that neither lineage nor recovery grows with the number of rounds.
+to the links: narrow rows, of which a node has no more than its component has nodes. After each step
+every task replaces the links that it holds by a forest of stars with the same components, which
+shortens chains. Each round is written to the shared folder, so that neither lineage nor recovery
+grows with the number of rounds.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .storage import kept
 
-SALTS = 8
-
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task as stars around the least node of each of their components."""
@@ -43,8 +41,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_least(e: DataFrame) -> DataFrame:
     """a, b, m: the links, and the least of each a's neighbours and itself."""
-    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).select("a", "b", "m")
+    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return e.join(least, "a").select("a", "b", "m")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
