@@ -6,7 +6,7 @@ from .registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from . import assets, documents, runs, traces, vectors, web  # noqa: F401  they register their queries
+    from . import assets, documents, exports, runs, traces, vectors, web  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

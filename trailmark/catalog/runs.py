@@ -58,11 +58,11 @@ def metric_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.metric_changes(old, new).select("cluster", F.round("change", 4).alias("change"), "state")
 
 
-@query(f"WITH {R} SELECT s.key, CASE WHEN n.key IS NULL THEN 'removed' WHEN n.cluster = 7 THEN 'unmapped_noise' ELSE 'mapped' END AS state FROM (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 = 0) s LEFT JOIN n USING (key)")
+@query(f"WITH {R} SELECT s.key, CASE WHEN n.key IS NULL THEN 'removed' WHEN n.cluster = 7 THEN 'unmapped_noise' ELSE 'mapped' END AS state FROM (SELECT o_orderkey AS key FROM orders) s LEFT JOIN n USING (key)")
 def mapped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _runs(spark, sf_dir)
     new = new.withColumn("cluster", F.when(F.col("cluster") == 7, -1).otherwise(F.col("cluster")))
-    return comparison.mapped_samples(table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("key")), old, new).select("key", "state")
+    return comparison.mapped_samples(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), old, new).select("key", "state")
 
 
 @query(f"WITH {R} SELECT n.key FROM n ANTI JOIN o USING (key)")
@@ -82,9 +82,9 @@ def per_day_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.per_day(x, "day", {"traces": "one", "files": "f"}).select(F.coalesce("day", F.lit("TOTAL")).alias("day"), "traces", "files")
 
 
-@query("WITH a AS (SELECT strftime(o_orderdate, '%Y%m') AS day, count(*) AS crawls FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), b AS (SELECT strftime(l_shipdate, '%Y%m') AS day, count(*) AS verdicts FROM lineitem GROUP BY 1), x AS (SELECT coalesce(a.day, b.day) AS day, coalesce(crawls, 0) AS crawls, coalesce(verdicts, 0) AS verdicts FROM a FULL JOIN b USING (day)) SELECT coalesce(day, 'TOTAL') AS day, sum(crawls)::BIGINT AS crawls, sum(verdicts)::BIGINT AS verdicts FROM x GROUP BY ROLLUP (day)")
+@query("WITH a AS (SELECT strftime(o_orderdate, '%Y%m') AS day, count(*) AS crawls FROM orders GROUP BY 1), b AS (SELECT strftime(l_shipdate, '%Y%m') AS day, count(*) AS verdicts FROM lineitem GROUP BY 1), x AS (SELECT coalesce(a.day, b.day) AS day, coalesce(crawls, 0) AS crawls, coalesce(verdicts, 0) AS verdicts FROM a FULL JOIN b USING (day)) SELECT coalesce(day, 'TOTAL') AS day, sum(crawls)::BIGINT AS crawls, sum(verdicts)::BIGINT AS verdicts FROM x GROUP BY ROLLUP (day)")
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.date_format("o_orderdate", "yyyyMM").alias("day"))
+    c = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("day"))
     v = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("day"))
     return aggregates.coverage_by_day(c, v, "day").select(F.coalesce("day", F.lit("TOTAL")).alias("day"), "crawls", "verdicts")
 

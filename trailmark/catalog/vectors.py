@@ -9,7 +9,7 @@ from ..plans import clustering, cohesion, sampling, sequences
 from ..session import table
 from .registry import query, r6
 
-P = """p AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+P = """p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS dist FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id < b.vec_id),
 s AS (SELECT i, j, dist FROM p UNION ALL SELECT j, i, dist FROM p), l AS (SELECT vec_id AS key, label AS cluster FROM embeddings)"""
 SIL = P + """, m AS (SELECT s.i, a.cluster AS ci, b.cluster AS cj, avg(dist) AS d FROM s JOIN l a ON a.key = s.i JOIN l b ON b.key = s.j GROUP BY ALL),
 ab AS (SELECT i AS key, ci AS cluster, min(d) FILTER (ci = cj) AS a, min(d) FILTER (ci <> cj) AS b FROM m GROUP BY ALL),

@@ -94,12 +94,12 @@ def stack_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", stack_source(stack).alias("source"))
 
 
-@query(f"WITH {H} SELECT page_id % 100 AS crawl_id, min(page_id) AS report_id FROM h WHERE page_id % 100 < 50 GROUP BY 1")
+@query(f"WITH {H} SELECT page_id % 100 AS crawl_id, min(page_id) AS report_id FROM h GROUP BY 1")
 def crawl_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawls joined with reports of the same day and URL, in forms that differ by scheme, www and a slash."""
     p = table(spark, sf_dir, "pages")
     name = F.concat(F.lit("site"), (F.col("page_id") % 100).cast("string"), F.lit(".example/a"))
-    crawls = p.where("page_id % 100 < 50").select((F.col("page_id") % 100).alias("crawl_id"), F.lit("20250101-120000").alias("folder"), F.concat(F.lit("https://www."), name).alias("url")).distinct()
+    crawls = p.select((F.col("page_id") % 100).alias("crawl_id"), F.lit("20250101-120000").alias("folder"), F.concat(F.lit("https://www."), name).alias("url")).distinct()
     reports = p.select(F.col("page_id").alias("report_id"), F.lpad(F.col("page_id").cast("string"), 10, "0").alias("file"), F.lit("20250101").alias("folder"), F.concat(F.lit("http://"), name, F.lit("/")).alias("url"))
     return joins.crawl_reports(crawls, reports)
 

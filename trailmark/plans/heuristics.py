@@ -80,12 +80,17 @@ def _match(name: str, severity: str, fires: Column, evidence: Column) -> Column:
     return F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), evidence.alias("evidence")))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def rules(full_hosts: bool = False) -> list[Column]:
     """A struct(name, severity, evidence) or null for each rule, in order."""
     t, h = _tokens(), hosts(full_hosts)
     decoded = previews("atob De-obfuscation", 256, "outputPreview", "output", "inputPreview")
     executed = F.concat(previews("Eval Call", 512, "codePreview", "inputPreview"), previews("Function Constructor", 512, "codePreview", "outputPreview"))
-    chained = F.exists(decoded, lambda d: F.exists(executed, lambda e: F.contains(e, F.substring(F.trim(d), 1, 32))))
+    chained = F.exists(decoded, lambda d: F.exists(executed, lambda e: F.contains(e, F.substring(stripped(d), 1, 32))))
     others = F.filter(h, lambda x: F.coalesce(x != F.col("script_host"), F.lit(True)))
     cdn = F.filter(F.transform(F.filter(t, lambda x: x.startswith("Script Src Set")), token_host), lambda x: has_any(x, K.CDN_HOSTS))
     defined = of_type("Object.defineProperty Called")
@@ -101,7 +106,7 @@ def rules(full_hosts: bool = False) -> list[Column]:
     siphoned = F.get(F.filter(names, lambda x: x.rlike("^(ibx_|wpfomo)")), F.lit(0))
     c2 = F.filter(h, lambda x: has_any(x, K.C2_HOSTS))
     shallow = F.filter(F.concat(of_type("DOM Mutation"), defined), lambda p: ~benign_stack(p))
-    heads = F.transform(shallow, lambda p: F.substring(F.coalesce(blank_to_null(F.regexp_extract(F.trim(F.coalesce(member(p, "registrationStack", "stack"), F.lit(""))), r"^([^\n]*)", 1)), given(p, "type")), 1, 80))
+    heads = F.transform(shallow, lambda p: F.substring(F.coalesce(blank_to_null(F.regexp_extract(stripped(F.coalesce(member(p, "registrationStack", "stack"), F.lit(""))), r"^([^\n]*)", 1)), given(p, "type")), 1, 80))
     locked = F.transform(F.filter(defined, lambda p: F.coalesce(given(p, "configurable") == "false", F.lit(False)) & (truth(p, "isNativePrototype") | truth(p, "isNative"))), lambda p: F.coalesce(member(p, "property", "attribute", "object"), F.lit("unknown")))
     probed = F.filter(F.transform(t, F.lower), lambda x: has_any(x, K.PROBED))
     early = F.filter(F.slice(F.transform(t, F.lower), 1, 40), lambda x: has_any(x, K.PLATFORM_PROBES))

@@ -69,11 +69,14 @@ def statuses(assets: DataFrame, vulns: DataFrame) -> DataFrame:
 def by_cluster(assets: DataFrame, found: DataFrame) -> DataFrame:
     """AGG-17, DEC-18: cluster, slug, traces, matched traces, vuln_ids, status. assets: cluster, trace_id, slug, version; found: from statuses()."""
     f = found.withColumnsRenamed({"slug": "s", "version": "v"})
-    x = assets.distinct().join(f, (F.col("slug") == F.col("s")) & F.coalesce(sound_version("version"), blank_to_null(F.trim("version"))).eqNullSafe(F.col("v")))
-    return x.groupBy("cluster", "slug").agg(
-        F.count_distinct("trace_id").alias("traces"), F.count_distinct(F.when(F.col("status") == "matched", F.col("trace_id"))).alias("matched"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("vuln_ids")))).alias("vuln_ids"), strongest_status(F.collect_set("status")).alias("status"),
-    )
+    on = (F.col("slug") == F.col("s")) & F.coalesce(sound_version("version"), blank_to_null(F.trim("version"))).eqNullSafe(F.col("v"))
+    hit = f.where("status = 'matched'").select("s", "v", F.lit(1).alias("hit"))
+    # traces are counted on narrow rows, one for each trace and slug; what advisories say is added up over distinct versions
+    each = assets.join(hit, on, "left").groupBy("cluster", "slug", "trace_id").agg(F.max("hit").alias("hit"))
+    traces = each.groupBy("cluster", "slug").agg(F.count("*").alias("traces"), F.count("hit").alias("matched"))
+    versions = assets.select("cluster", "slug", "version").distinct().join(f, on).groupBy("cluster", "slug")
+    said = versions.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("vuln_ids")))).alias("vuln_ids"), strongest_status(F.collect_set("status")).alias("status"))
+    return said.join(traces, ["cluster", "slug"]).select("cluster", "slug", "traces", "matched", "vuln_ids", "status")
 
 
 def needed(vulns: DataFrame, assets: DataFrame) -> DataFrame:
