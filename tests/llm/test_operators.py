@@ -587,6 +587,9 @@ def test_token_counts(spark, docs, texts, empty):
     assert len(got) == 3 * len(texts) and sum(r["n_tokens"] for r in got) == 3 * sum(v[1] for v in want.values())
     table = token_counts.vocabulary(docs, path).collect()
     seen = Counter(x for w in words.values() for x in w)
+    for most in (1, 10, 1000, 10**6):
+        top = {r["word"]: r["n"] for r in token_counts.frequent(token_counts.vocabulary(docs, path), most).collect()}
+        assert len(top) <= most and (not top or min(top.values()) > max((n for w, n in seen.items() if w not in top), default=0))
     assert {r["word"]: r["n"] for r in table} == seen and all(r["tokens"] == memo[r["word"]] for r in table)
 
 

@@ -135,6 +135,18 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return kept(spark, words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(_counted(path), "word string, n long, tokens long"), "terminals")
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent pre-tokens, ``most`` at most: those of the highest classes of counts, of which there are at most 512."""
+    owned = words.withColumn("c", F.floor(8 * F.log2("n")).cast("int"))
+    taken, least = 0, None
+    for r in sorted(owned.groupBy("c").agg(F.count("*").alias("size")).collect(), key=lambda r: -r["c"]):
+        taken += r["size"]
+        if taken > most:
+            break
+        least = r["c"]
+    return owned.where(F.col("c") >= least if least is not None else F.lit(False)).drop("c")
+
+
 class _Common:
     """Tokens of the most frequent pre-tokens, as sent to every worker."""
 
@@ -181,7 +193,7 @@ def counted(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
     spark = docs.sparkSession
     docs = spread(docs.select("doc_id", "text"))
     words = vocabulary(docs, path)
-    most = words.orderBy(F.desc("n"), "word").limit(common).toArrow()
+    most = frequent(words, common).toArrow()
     sent = spark.sparkContext.broadcast(_Common(most.column("word").to_pylist(), most.column("tokens").to_pylist()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = kept(spark, docs.mapInArrow(_known(sent), f"doc_id {kind}, row long, n_pretokens long, known long, rest array<struct<word:string,times:bigint>>"), "known")
