@@ -195,3 +195,11 @@ def test_lookups_and_orders(spark):
     assert tables.resolved(None, None, ["y", "x"]) == "x" and tables.resolved("e", "d", []) == "e"
     traces_of = spark.createDataFrame([(1, f"t{i}", "p", [("OBFUSCATION", 9)], [("XHR Request|x", 4)], ["eval"], {"OBFUSCATION": 9}, 5) for i in range(4)], "cluster int, trace_id string, bucket string, capability_summary array<struct<label:string,n:int>>, event_distribution array<struct<label:string,n:int>>, event_sequence_preview array<string>, capability_counts map<string,int>, suspicious_event_count int")
     assert [r["trace_id"] for r in sampling.selected(traces_of, network=True).orderBy("pick").collect()] == ["t0", "t1", "t2"]
+
+
+def test_consecutive_numbers_have_no_gaps(spark):
+    from trailmark.operators.joins import consecutive
+
+    df = spark.range(5000).selectExpr("pmod(xxhash64(id), 700) as a", "id as b").repartition(7)
+    got = [(r["a"], r["b"], r["idx"]) for r in consecutive(df, ["a", "b"]).collect()]
+    assert [x[2] for x in sorted(got)] == list(range(5000))

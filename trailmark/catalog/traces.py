@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +216,38 @@ def distribution_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_counts(e, ["cluster"], "event_type", 3)
 
 
+def _calls(n: int, name: str, **more) -> list[dict]:
+    return [{"type": "Object.defineProperty Called", "property": f"{name}", **more} for _ in range(n)]
+
+
+#: tokens, payloads and the rules that they fire: one trace for each rule, and one for none
+CASES: list[tuple[list[str], list[dict], list[str]]] = [
+    (["a|weak_host=h.example"], [{"type": "atob De-obfuscation", "outputPreview": "\n\t payload(1) "}, {"type": "Eval Call", "codePreview": "x payload(1) y"}], ["obfuscated_eval_chain"]),
+    (["Script Src Set|weak_host=cdn.jsdelivr.net", "Script Src Set|weak_host=unpkg.com", "DOM Mutation|Node.appendChild|x"], _calls(2, "x"), ["cdn_script_reinjection", "stack_anomaly"]),
+    (["Eval Call|x"], [{"type": "Event Listener Added", "listenerPreview": "ask MetaMask", "eventType": "click"}], ["web3_listener_bootstrap"]),
+    (["x"], _calls(5, "Promise"), ["prototype_mass_patching", "stack_anomaly"]),
+    (["t|weak_host=collect-v9.example", "Eval Call"], [{"type": "Cookie Read", "keys": "__51a, ibx_b"}], ["cookie_beacon"]),
+    (["Blob URL Created", "Web Worker Created|domain:blob|wpTestEmojiSupports", "x|onmessage", "DOM Property Read|window|sessionStorage"], [], ["blob_worker_dropper"]),
+    (["x|weak_host=a.indejs.net"], [], ["c2_host_contact"]),
+    (["x"], [{"type": "DOM Mutation", "stack": "\n at one"}], ["stack_anomaly"]),
+    (["x"], _calls(1, "eval", configurable=False, isNative=True, stack="at jquery.js"), ["anti_tamper_locking"]),
+    (["DOM Property Read|navigator.webdriver", "DOM Property Read|navigator.plugins"], [], ["environment_mimicry"]),
+    (["r|ontouchstart", "r|screen.width", "XHR Request|x"], [], ["platform_divergence"]),
+    (["plain", "Script Src Set|weak_host=unpkg.com", "r|ontouchstart", "x|navigator.webdriver"], [*_calls(4, "Promise", stack="a\nb\nc\nd"), {"type": "Eval Call", "codePreview": "zz"}, {"type": "Cookie Read", "keys": "__51a"}], []),
+]
+_FIRED = ", ".join(f"({k}, '{name}')" for k, (_, _, names) in enumerate(CASES) for name in names)
+
+
+@query(f"SELECT DISTINCT user_id AS trace_id, name FROM events JOIN (VALUES {_FIRED}) v(k, name) ON user_id % {len(CASES)} = k")
+def heuristic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over traces made so that it fires, and over those of the others, where it does not."""
+    case = (F.col("user_id") % len(CASES)).cast("int")
+    of = lambda i, dump: F.from_json(F.get(F.array(*(F.lit(json.dumps([dump(x) for x in c[i]])) for c in CASES)), case), "array<string>")
+    own = table(spark, sf_dir, "events").select("user_id").distinct()
+    own = own.select(F.col("user_id").alias("trace_id"), of(0, str).alias("event_sequence"), of(1, json.dumps).alias("payloads"), F.lit("own.example").alias("script_host"), F.create_map(F.lit("OTHER"), F.lit(1)).alias("capability_counts"))
+    return heuristics.detected(own).select("trace_id", F.explode("heuristic_names").alias("name"))
+
+
 # --- events as JSON -------------------------------------------------------------------------
 def json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded event of another family for each event type: event_id, event, script_host."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,22 @@ def asset_edges(traces: DataFrame) -> DataFrame:
 
 
 def numbered(items: DataFrame, key: list[str], order: str) -> DataFrame:
-    """WIN-09: key, idx: distinct keys numbered from 0 by first appearance. For dimensions; the last step is a sort in one task."""
+    """WIN-09: key, idx: distinct keys numbered from 0 by first appearance."""
     first = items.groupBy(*key).agg(F.min(order).alias("_first"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("_first", *key)) - 1).drop("_first")
+    return consecutive(first, ["_first", *key]).drop("_first")
+
+
+def consecutive(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """Adds numbers from 0 in this order, without gaps and without one task for all: ranks within ranges of the order, and the sizes of the ranges before.
+
+    The ranges are kept on disk, so that both see the same ones.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).drop("_part", "_within", "_before")
 
 
 def page_verdicts(traces: DataFrame) -> DataFrame:

@@ -125,8 +125,10 @@ def capability_shares(traces: DataFrame, key: str, counts_of: str = "capability_
 
 
 def vocabulary(traces: DataFrame, sequence: str) -> DataFrame:
-    """SEQ-01: token, idx: distinct tokens numbered from 0 in order of their letters. Vocabularies are small beside the traces."""
-    return traces.select(F.explode(sequence).alias("token")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("token")) - 1)
+    """SEQ-01: token, idx: distinct tokens numbered from 0 in order of their letters."""
+    from ..operators.joins import consecutive
+
+    return consecutive(traces.select(F.explode(sequence).alias("token")).distinct(), ["token"])
 
 
 def encoded(traces: DataFrame, key: str, sequence: str, vocab: DataFrame) -> DataFrame:
