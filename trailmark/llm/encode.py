@@ -2,8 +2,9 @@
 
 The two byte-level BPE vocabularies in use split a text before each space that follows another
 character than white space, and at each line end between others; the words between such points
-encode alike wherever they stand. Arrow splits the texts and numbers their distinct words; ids of
-words are kept, up to ``KEEP`` of them for a Python worker, and gathered into the ids of texts.
+encode alike wherever they stand. So do words and a full stop or comma after them, which are parted
+first, as they would make most words twice. Arrow splits the texts and numbers their distinct
+words; ids of words are kept, up to ``KEEP`` of them for a Python worker, and gathered into the ids of texts.
 Texts for which the split is not certain (runs of white space, unusual white space or spellings
 of special tokens) are encoded whole.
 """
@@ -21,9 +22,11 @@ from . import textops as X
 KEEP = 400_000
 #: text that is encoded at once: more would share more words and take more memory
 ENCODE_BYTES = 2 << 20
-#: bytes that may start white space other than the space and the line end, or a special token
+#: stands before a mark that follows its word without a space; texts that hold it are encoded whole
+GLUE = "\x01"
+#: bytes that may start white space other than the space and the line end, a special token or GLUE
 _LEADS = np.zeros(256, bool)
-_LEADS[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_LEADS[[ord(GLUE), *range(0x09, 0x0E), *range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _LEADS[0x0A] = False
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x0A, 0x20]] = True
@@ -56,8 +59,21 @@ def _steady(letter: str) -> bool:
     return letter.isalpha() and len(low) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", letter) and unicodedata.is_normalized("NFC", low)
 
 
-#: such letters of the Latin script; words that end in others are encoded as they are
-STEADY = frozenset(filter(_steady, map(chr, range(0x250))))
+#: the last two bytes of words that end in such a letter of the Latin script; marks after others stay with their words
+_ENDS = np.zeros(1 << 16, bool)
+for _c in filter(_steady, map(chr, range(0x250))):
+    _ENDS[(np.arange(256) << 8) + ord(_c) if _c.isascii() else int.from_bytes(_c.encode())] = True
+
+
+def _parted(column: pa.Array) -> pa.Array:
+    """The texts with full stops and commas that end a word after a steady letter as words of their own, led by ``GLUE``."""
+    data, off = X.raw(column)
+    at = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+    to = off[np.searchsorted(off, at, "right")]  # where their texts end
+    at = at[(off[np.searchsorted(off, at)] != at) & ((at + 1 == to) | _BLANK[data[np.minimum(at + 1, len(data) - 1)]])]
+    at = at[_ENDS[(data[at - 2].astype(np.int64) << 8) | data[at - 1]]]
+    data = np.insert(data, np.repeat(at, 2), np.tile(np.array([0x20, ord(GLUE)], np.uint8), len(at)))
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(off + 2 * np.searchsorted(at, off)), pa.py_buffer(data))
 
 
 class Encoder:
@@ -70,9 +86,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.folds = self.tokenizer.normalizer is not None  # folds case and drops white space
         self.letters = str.maketrans({chr(b): c for b, c in zip(range(256), _byte_letters(), strict=True)})
-        self.marks = {m: self.whole([m])[0].tobytes() for m in ".,"}
         self.end = b"" if self.folds else self.whole(["\n"])[0].tobytes()
-        self.keep, self.kept = keep, {}  # ids of words after a space
+        self.marks = {GLUE + m: self.whole([m])[0].tobytes() for m in ".,"}
+        self.keep, self.kept = keep, dict(self.marks)  # ids of words after a space
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,34 +112,16 @@ class Encoder:
         return out
 
     def _ids(self, words: list[str], kept: dict[str, bytes], before: str) -> list[bytes]:
-        """Ids of words: those at the end of sentences are put together from the word's and the mark's."""
+        """Ids of words, each after ``before``: those kept from earlier texts, and the others'."""
         out = list(map(kept.get, words))
-        ended: list[tuple[int, str, bytes]] = []
-        plain: list[int] = []
-        todo: dict[str, None] = {}
-        for at, found in enumerate(out):
-            if found is None:
-                w = words[at]
-                if (mark := self.marks.get(w[-1:])) is not None and w[-2:-1] in STEADY:
-                    stem = w[:-1]
-                    ended.append((at, stem, mark))
-                    if stem not in kept:
-                        todo[stem] = None
-                else:
-                    plain.append(at)
-                    todo[w] = None
-        if not plain and not ended:
-            return out
-        new = list(todo)
-        own = dict(zip(new, self._new(new, before), strict=True))
-        for at in plain:
-            out[at] = own[words[at]]
-        for at, stem, mark in ended:
-            ids = own.get(stem)
-            out[at] = (kept[stem] if ids is None else ids) + mark
-        if len(kept) + len(own) + len(ended) <= self.keep:
-            kept.update(own)
-            kept.update((words[at], out[at]) for at, _, _ in ended)
+        at = [i for i, ids in enumerate(out) if ids is None]
+        if at:
+            new = [words[i] for i in at]
+            own = self._new(new, before)
+            for i, ids in zip(at, own, strict=True):
+                out[i] = ids
+            if len(kept) + len(own) <= self.keep:
+                kept.update(zip(new, own, strict=True))
         return out
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
@@ -138,7 +136,7 @@ class Encoder:
             return out
         if len(odd):
             column = column.take(pa.array(certain))
-        certain = certain.tolist()
+        certain, column = certain.tolist(), _parted(column)
         split = pc.split_pattern(pc.replace_substring(column, "\n", " " if self.folds else " \n "), " ")
         ptr = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
@@ -154,7 +152,7 @@ class Encoder:
             n = len(words)
             words += [words[c] for c in code[at].tolist()]
             rest = np.unique(code[~first & ~breaks])
-            ids = [self.end] * n + self._ids(words[n:], {}, "")
+            ids = [self.end] * n + self._ids(words[n:], dict(self.marks), "")
             for c, x in zip(rest.tolist(), self._ids([words[c] for c in rest.tolist()], self.kept, " "), strict=True):
                 ids[c] = x
             if breaks.any():
