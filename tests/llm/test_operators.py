@@ -119,6 +119,21 @@ def test_encoder_equals_the_library(texts, name):
     assert [x.tolist() for x in encode.encoder(path).encode(own)] == [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_are_parted_from_words_within_their_text_only(name):
+    """Marks at the ends and starts of neighbouring texts, after letters of one byte, two and more, and texts that hold the sign of parted marks."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(name)
+    parts = ["a", "\u00e9", "\u0142", "\u01c6", "\u00df", "\u0130", "\u4e2d", "1", ".", ",", ". ", ", ", ".\n", " ", "\n", encode.GLUE]
+    rng = random.Random(3)
+    own = ["abc", ". x", ",", "a", ".", "", ", b", "a \x01, b", "\x01.", "a.\nb, c.", "\u00e9. \u00e9, \u00e9."]
+    own += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(5000)]
+    t = Tokenizer.from_file(path)
+    got, want = encode.encoder(path).encode(own), [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
+    assert [a for a, g, w in zip(own, got, want, strict=True) if g.tolist() != w] == []
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library_over_all_scripts(name):
     """Words of letters, marks and signs of every script, at word ends too; forms that composition leaves out or that folding makes longer."""
