@@ -45,6 +45,15 @@ def test_ranges_follow_bytes(spark):
     assert storage.ranges(df.where("false"), "octet_length(text)") == base
 
 
+def test_rows_are_gathered_by_the_bytes_of_their_source(spark):
+    written = storage.kept(spark, spark.range(100_000), "numbers")
+    rows, most = written.repartition(9), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert storage.gathered(rows, written).rdd.getNumPartitions() == 1 < most
+    assert sorted(r["id"] for r in storage.gathered(rows, written, 200_000).collect()) == list(range(100_000))
+    assert storage.gathered(rows, written, 1000) is rows  # no file saved
+    assert storage.gathered(rows, spark.sparkContext.parallelize([(1,)]).toDF("a long")) is rows  # bytes unknown
+
+
 def test_split_keeps_every_row(spark):
     df = spark.range(5000).selectExpr("if(id % 7 = 0, null, id % 900) as a", "id as b")
     ids = spark.range(0, 900, 9).selectExpr("id as a")

@@ -6,7 +6,8 @@ seen under the current ``RULE_VERSION``, once each however many paths hold them,
 to the ledger, of which those with findings join back to all paths. A ledger is a folder of Parquet
 files that later runs are given again; a run that names none has one of its own. Copies are dropped twice: in each input partition before the shuffle, so
 that a blob with a third of all rows sends one row from each, and again after it. Texts are
-shuffled once, by their address.
+shuffled once, by their address; the ledger's rows, which are narrow, are gathered into files whose
+number follows the texts' bytes and not the partitions of that shuffle. A worker decodes a slice of a batch at a time.
 
 Rules ``assign``, ``access`` and ``hex`` are the base; ``pem``, ``jwt`` and ``url`` add spans.
 
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import folder, kept, split, spread
+from .storage import folder, gathered, kept, split, spread
+from .textops import slices
 
 RULE_VERSION = 2
 #: kind: pattern, group whose length counts, least length; in the order in which kinds are listed
@@ -85,7 +87,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _distinct(batches):
-        found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in batch.column("text").to_pylist()]
+        found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for _, rows in slices(batch.column("text")) for t in rows.to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([RULE_VERSION] * len(found), pa.int32()), pa.array(found, _FOUND)], ["blob", "rule_version", "findings"])
 
 
@@ -106,7 +108,7 @@ def updated(paths: DataFrame, ledger: str | None = None, text: str = "text") ->
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             old = spark.read.schema(_LEDGER).parquet(at)
-    unseen(spread(paths), old, text).write.mode("append").parquet(at)
+    gathered(unseen(spread(paths), old, text), paths).write.mode("append").parquet(at)
     return spark.read.schema(_LEDGER).parquet(at)
 
 

@@ -65,6 +65,17 @@ def ranges(df: DataFrame, size: str, most: int = PARTITION_BYTES, planned: bool
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
 
 
+def gathered(rows: DataFrame, source: DataFrame, most: int = PARTITION_BYTES // 4) -> DataFrame:
+    """Narrow ``rows``, made behind a shuffle of ``source``, dealt out to few tasks for writing: none stands for over ``most`` bytes of the source, by the plan's statistics.
+
+    They stay as they are where that saves no file, or where the statistics don't tell the source's bytes.
+    """
+    spark = source.sparkSession
+    total = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(1, -(-total // most))
+    return rows.repartition(n) if n < int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 #: bits of the map by which split() tells most rows apart: 2**18 rows of 64 bits at most
 MAP_BITS = 24
 
