@@ -158,6 +158,46 @@ def test_encoder_equals_the_library_over_all_scripts(name):
     assert [a for a, g, w in zip(own, got, want, strict=True) if g.tolist() != w] == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_go_to_the_model_once(name):
+    """Words with marks, digits and contractions, and repeated first words: none is given to the library as a text, none to the model twice."""
+    from tokenizers import Tokenizer
+
+    class Model:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, run):
+            self.seen.append(run)
+            return self.model.tokenize(run)
+
+    path = queries.vocabulary(name)
+    own = ["Word re%%% don't 'tis x's ''s a1b22 über***,\nWord ½² ȺȾ, ǅª $5.00 a_b\nWord"] * 3 + [" '", "' ", "'S", "¿q? 's"]
+    enc = encode.Encoder(path)
+    whole, texts = enc.whole, []
+    enc.whole = lambda texts_: texts.extend(texts_) or whole(texts_)
+    model = enc.model = Model(enc.model)
+    got = [x.tolist() for x in enc.encode(own)]
+    assert got == [x.ids for x in Tokenizer.from_file(path).encode_batch(own, add_special_tokens=False)]
+    assert texts == [] and model.seen.count("word" if enc.folds else "Word") == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_equal_the_library(name):
+    """Words of all characters below U+0250, with many apostrophes, and the single characters among others."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(name)
+    rng = random.Random(f"plain {name}")
+    every = [chr(c) for c in range(1, 0x250) if c != 0x0A]
+    own = [w for c in every for w in (c, f"a{c}", f"{c}a b{c}c {c}", f"1{c}2 .{c}.", f"{c}\n{c}{c} '{c}")]
+    few = ["'", "'", "s", "S", "t", "ll", "re", "d", "M", "x", "1", "22", "%", "$$", ".", ",", "ü", "²", "İ", "ŉ", "ͅ", " ", "\n"]
+    own += ["".join(rng.choice(few if rng.random() < 0.8 else every) for _ in range(rng.randint(1, 9))) for _ in range(12_000)]
+    t = Tokenizer.from_file(path)
+    got, want = encode.Encoder(path).encode(own), [x.ids for x in t.encode_batch(own, add_special_tokens=False)]
+    assert [a for a, g, w in zip(own, got, want, strict=True) if g.tolist() != w] == []
+
+
 def test_token_files(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 

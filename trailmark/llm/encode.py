@@ -6,11 +6,13 @@ encode alike wherever they stand. So do words and a full stop or comma after the
 first, as they would make most words twice. Arrow splits the texts and numbers their distinct
 words; ids of words are kept, up to ``KEEP`` of them for a Python worker, and gathered into the ids of texts.
 Texts for which the split is not certain (runs of white space, unusual white space or spellings
-of special tokens) are encoded whole.
+of special tokens) are encoded whole. Of new words, those of Latin letters and common marks are
+parted into the vocabulary's runs here and go to the library's model; it parts the others itself.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -76,6 +78,18 @@ def _parted(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(off + 2 * np.searchsorted(at, off)), pa.py_buffer(data))
 
 
+#: words of visible characters below U+0250, which normalisation leaves as they are and folding maps one to one
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]*")
+
+
+def _runs(folds: bool) -> re.Pattern[str]:
+    """The pattern by which a vocabulary parts texts, for such words, folded or with a space before them."""
+    letter, number = (re.escape("".join(sorted({x for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c) and unicodedata.category(c)[0] == k for x in (c, c.lower())}))) for k in "LN")
+    if folds:
+        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\s{letter}{number}]+")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\\s{letter}{number}]+|\\s+")
+
+
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
@@ -85,6 +99,7 @@ class Encoder:
             raise ValueError("ids must be below 65,536")
         self.model = self.tokenizer.model
         self.folds = self.tokenizer.normalizer is not None  # folds case and drops white space
+        self.runs = _runs(self.folds)
         self.letters = str.maketrans({chr(b): c for b, c in zip(range(256), _byte_letters(), strict=True)})
         self.end = b"" if self.folds else self.whole(["\n"])[0].tobytes()
         self.marks = {GLUE + m: self.whole([m])[0].tobytes() for m in ".,"}
@@ -96,12 +111,15 @@ class Encoder:
     def _new(self, words: list[str], before: str) -> list[bytes]:
         """Ids of words, each after ``before``. One run of letters is one word of the model in both vocabularies."""
         tokenize, letters, folds, mark = self.model.tokenize, self.letters, self.folds, before.translate(self.letters)
+        plain, runs = _PLAIN.fullmatch, self.runs.findall
         flat, ends, rest = [], [0], []
         for at, p in enumerate(words):
             if p.isascii() and p.isalpha():
                 flat += [t.id for t in tokenize(p.lower() if folds else mark + p)]
-            elif p.isalpha() and max(p) < "ɐ" and "İ" not in p and (not folds or unicodedata.is_normalized("NFC", p)):
-                flat += [t.id for t in tokenize((p.lower() if folds else before + p).encode().decode("latin-1").translate(letters))]
+            elif plain(p):
+                p = p.lower() if folds else before + p
+                for run in [p] if p[len(before) :].isalpha() else runs(p):
+                    flat += [t.id for t in tokenize(run.encode().decode("latin-1").translate(letters))]
             else:
                 rest.append(at)
             ends.append(len(flat))
@@ -140,7 +158,7 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(column, "\n", " " if self.folds else " \n "), " ")
         ptr = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.folds:
             ids = self._ids(words, self.kept, "")
         else:
@@ -150,14 +168,15 @@ class Encoder:
             first[1:] |= breaks[:-1]
             at = np.flatnonzero(first & ~breaks)
             n = len(words)
-            words += [words[c] for c in code[at].tolist()]
+            leading, number = np.unique(code[at], return_inverse=True)
+            words += [words[c] for c in leading.tolist()]
             rest = np.unique(code[~first & ~breaks])
             ids = [self.end] * n + self._ids(words[n:], dict(self.marks), "")
             for c, x in zip(rest.tolist(), self._ids([words[c] for c in rest.tolist()], self.kept, " "), strict=True):
                 ids[c] = x
             if breaks.any():
                 ids[words.index("\n")] = self.end
-            code[at] = np.arange(n, len(words))
+            code[at] = n + number
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         flat, start = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
         own = size[code]

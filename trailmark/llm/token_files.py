@@ -72,16 +72,15 @@ class Code:
     """The canonical code of given lengths: codes ascend with length and then id."""
 
     def __init__(self, lengths: dict[int, int]):
-        order = sorted(lengths, key=lambda s: (lengths[s], s))
-        self.lengths = np.zeros(1 << 16, np.uint8)
-        self.codes = np.zeros(1 << 16, _U)
+        ids, n = (np.fromiter(x, np.int64, len(lengths)) for x in (lengths.keys(), lengths.values()))
+        order = np.lexsort((ids, n))
+        ids, n = ids[order], n[order]
+        span = 1 << (LONGEST - n)  # entries of the decoder's table that begin with the code
+        end = np.cumsum(span)
+        self.lengths, self.codes = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, _U)
+        self.lengths[ids], self.codes[ids] = n, (end - span) >> (LONGEST - n)
         self.symbol, self.size = np.zeros(1 << LONGEST, np.uint16), np.ones(1 << LONGEST, np.uint8)
-        at = 0
-        for s in order:
-            n = lengths[s]
-            self.lengths[s], self.codes[s] = n, at >> (LONGEST - n)
-            self.symbol[at : at + (1 << (LONGEST - n))], self.size[at : at + (1 << (LONGEST - n))] = s, n
-            at += 1 << (LONGEST - n)
+        self.symbol[: span.sum()], self.size[: span.sum()] = np.repeat(ids, span), np.repeat(n, span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Bits and checkpoints."""
