@@ -8,15 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import symmetric
+from . import tiles
+from .sequences import symmetric, vectors
 
 
 def silhouettes(pair_table: DataFrame, labels: DataFrame) -> DataFrame:
     """AGG-13: key, cluster, silhouette. pair_table: i, j, dist; labels: key, cluster. Noise is left out; a singleton has 0; with fewer than two clusters there are no rows."""
     own = labels.where("cluster >= 0")
-    sizes = own.groupBy("cluster").agg(F.count("*").alias("size"))
     x = symmetric(pair_table).join(own.select(F.col("key").alias("i"), F.col("cluster").alias("ci")), "i").join(own.select(F.col("key").alias("j"), F.col("cluster").alias("cj")), "j")
-    means = x.groupBy("i", "ci", "cj").agg(F.avg("dist").alias("d"))
+    return _silhouettes(x.groupBy("i", "ci", "cj").agg(F.avg("dist").alias("d")), own)
+
+
+def vector_silhouettes(items: DataFrame, key: str, vector: str, labels: DataFrame, block: int = 256) -> DataFrame:
+    """AGG-13: as silhouettes() of all pairs of vectors; distances are summed up by row and cluster in tiles."""
+    own = labels.where("cluster >= 0")
+    rows, size = vectors(items, key, vector)
+    sums = tiles.group_sums(rows.join(own, "key"), "cluster", size, "vector", by_row=True, block=block, measured=rows)
+    return _silhouettes(sums.groupBy(F.col("key").alias("i"), F.col("own").alias("ci"), F.col("other").alias("cj")).agg((F.sum("s") / F.sum("n")).alias("d")), own)
+
+
+def _silhouettes(means: DataFrame, own: DataFrame) -> DataFrame:
+    """means: i, ci, cj, d: mean distance of a member of ci to those of cj."""
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("size"))
     ab = means.groupBy("i", "ci").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
     out = own.join(ab, (F.col("key") == F.col("i")) & (F.col("cluster") == F.col("ci"))).join(sizes, "cluster").where("b is not null")
@@ -42,7 +55,18 @@ def neighbours(pair_table: DataFrame, labels: DataFrame, most: int = 5) -> DataF
     """AGG-12, AGG-40: cluster, other, distance, rank: nearest clusters by mean distance of their members."""
     own = labels.where("cluster >= 0")
     x = symmetric(pair_table).join(own.select(F.col("key").alias("i"), F.col("cluster").alias("cluster")), "i").join(own.select(F.col("key").alias("j"), F.col("cluster").alias("other")), "j")
-    means = x.where("cluster != other and not isnan(dist)").groupBy("cluster", "other").agg(F.avg("dist").alias("distance"))
+    return _nearest_clusters(x.where("cluster != other and not isnan(dist)").groupBy("cluster", "other").agg(F.avg("dist").alias("distance")), most)
+
+
+def vector_neighbours(items: DataFrame, key: str, vector: str, labels: DataFrame, most: int = 5, block: int = 256) -> DataFrame:
+    """AGG-12, AGG-40: as neighbours() of all pairs of vectors; distances are summed up by clusters in tiles."""
+    rows, size = vectors(items, key, vector)
+    sums = tiles.group_sums(rows.join(labels.where("cluster >= 0"), "key"), "cluster", size, "vector", by_row=False, block=block, measured=rows)
+    means = sums.where("own != other").groupBy(F.col("own").alias("cluster"), "other").agg((F.sum("s") / F.sum("n")).alias("distance"))
+    return _nearest_clusters(means, most)
+
+
+def _nearest_clusters(means: DataFrame, most: int) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "other"))).where(F.col("rank") <= most)
 
 
