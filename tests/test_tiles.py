@@ -42,3 +42,10 @@ def test_a_row_travels_once_for_each_block(spark):
 def test_density_clusters_in_tiles(points):
     df, p, _ = points
     assert {(r["key"], r["cluster"]) for r in clustering.vector_hdbscan(df, "key", "v", 4, block=20).collect()} == {(r["key"], r["cluster"]) for r in clustering.hdbscan(p, 4).collect()}
+
+
+def test_pairs_in_tiles(points):
+    df, p, labels = points
+    same(sequences.vector_pairs(df, "key", "v", 20), p, "i", "j")
+    gone = labels.where("cluster = 1").limit(5)
+    same(sequences.guarded_vectors(df, "key", "v", gone, labels, 20), sequences.guarded(p, sequences.former_mates(gone, labels)), "i", "j")
