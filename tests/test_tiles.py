@@ -44,6 +44,13 @@ def test_density_clusters_in_tiles(points):
     assert {(r["key"], r["cluster"]) for r in clustering.vector_hdbscan(df, "key", "v", 4, block=20).collect()} == {(r["key"], r["cluster"]) for r in clustering.hdbscan(p, 4).collect()}
 
 
+def test_cores_and_reachability_in_tiles(points):
+    df, p, _ = points
+    cores = clustering.core_distances(p, 5)
+    same(clustering.vector_core_distances(df, "key", "v", 5, block=20), cores, "key")
+    same(clustering.vector_reachability(df, "key", "v", cores, block=20), clustering.mutual_reachability(p, cores), "i", "j")
+
+
 def test_pairs_in_tiles(points):
     df, p, labels = points
     same(sequences.vector_pairs(df, "key", "v", 20), p, "i", "j")
