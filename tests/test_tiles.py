@@ -56,3 +56,15 @@ def test_pairs_in_tiles(points):
     same(sequences.vector_pairs(df, "key", "v", 20), p, "i", "j")
     gone = labels.where("cluster = 1").limit(5)
     same(sequences.guarded_vectors(df, "key", "v", gone, labels, 20), sequences.guarded(p, sequences.former_mates(gone, labels)), "i", "j")
+
+
+def test_missing_pairs_in_tiles(points):
+    df, p, _ = points
+
+    def cached(i, j):
+        there = np.array([int(a[1:]) % 3 == 0 and int(b[1:]) % 2 == 0 for a, b in zip(i, j, strict=True)], bool)
+        return j[there], i[there]
+
+    known = p.where("substr(i, 2) % 3 = 0 and substr(j, 2) % 2 = 0").select(F.col("j").alias("i"), F.col("i").alias("j"))
+    want = sequences.missing_pairs(p.select("i", "j"), known)
+    assert sorted(map(tuple, sequences.missing_of_all(df, "key", cached, 20).collect())) == sorted(map(tuple, want.collect()))
