@@ -68,3 +68,18 @@ def test_missing_pairs_in_tiles(points):
     known = p.where("substr(i, 2) % 3 = 0 and substr(j, 2) % 2 = 0").select(F.col("j").alias("i"), F.col("i").alias("j"))
     want = sequences.missing_pairs(p.select("i", "j"), known)
     assert sorted(map(tuple, sequences.missing_of_all(df, "key", cached, 20).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sparse_cosines_in_tiles(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    rows = [(i, f"n{k}", float(w)) for i in range(40) for k, w in zip(rng.choice(30, 3, replace=False), rng.randn(3), strict=True)]
+    want: dict = {}
+    for i, n, x in rows:
+        for j, m, y in rows:
+            if i < j and n == m:
+                want[i, j] = want.get((i, j), 0) + x * y
+    e = spark.createDataFrame(rows, "key int, node string, w double")
+    for nodes in (1024, 4):
+        monkeypatch.setattr(sequences, "NODES", nodes)
+        got = {(r["i"], r["j"]): r["cosine"] for r in sequences.sparse_cosine_pairs(e, "key", "node", "w", 10).collect()}
+        assert got == pytest.approx({k: max(-1, min(1, x)) for k, x in want.items()})
