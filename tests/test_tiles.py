@@ -98,3 +98,15 @@ def test_sparse_cosines_in_tiles(spark, monkeypatch):
         monkeypatch.setattr(sequences, "NODES", nodes)
         got = {(r["i"], r["j"]): r["cosine"] for r in sequences.sparse_cosine_pairs(e, "key", "node", "w", 10).collect()}
         assert got == pytest.approx({k: max(-1, min(1, x)) for k, x in want.items()})
+
+
+def test_nearest_trace_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "MEMBERS", 3)
+    rng = np.random.RandomState(5)
+    rows = [(f"u{i:02}", [str(t) for t in rng.choice(["a", "b", "Eval Call", "c|weak_host=x"], rng.randint(0, 4))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, seq array<string>")
+    p = sequences.dtw_pairs(df, "key", "seq", block=4)
+    assert p.count() == 60 * 59 // 2
+    assert {tuple(r) for r in sequences.dtw_nearest(df, "key", "seq", block=4).collect()} == {tuple(r) for r in sequences.nearest(p).collect()}
+    near = sequences.dtw_pairs(df, "key", "seq", block=4, within=(0.3, 0.6))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, p.where("1 / (1 + dist) between 0.3 and 0.6").collect()))
