@@ -110,3 +110,11 @@ def test_nearest_trace_is_that_of_all_pairs(spark, monkeypatch):
     assert {tuple(r) for r in sequences.dtw_nearest(df, "key", "seq", block=4).collect()} == {tuple(r) for r in sequences.nearest(p).collect()}
     near = sequences.dtw_pairs(df, "key", "seq", block=4, within=(0.3, 0.6))
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, p.where("1 / (1 + dist) between 0.3 and 0.6").collect()))
+
+
+def test_long_traces_are_used_whole(spark):
+    n = 2100
+    rows = [(1, k, "ab"[k % 2], "A") for k in range(n)] + [(2, k, "ab"[k % 2] if k < 2000 else "c", "A") for k in range(2001)]
+    own = traces.trace_rows(spark.createDataFrame(rows, "k int, ts int, token string, capability string"), "k", ["ts"])
+    assert {r["k"]: len(r["compressed_event_sequence"]) for r in own.collect()} == {1: n, 2: 2001}
+    assert sequences.dtw_pairs(own, "k", "compressed_event_sequence").first()["dist"] == 51.0  # the last b to 50 times a, then c; 0 by the first 2000
