@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import once
 from ..functions.tokens import base_of, canonical, has_weak, is_noise, is_request, is_xhr, parts, request_details, weak_penalty, weight, with_tokens
 from ..operators.aggregates import top_counts
 from ..plans import heuristics, sampling, sequences, traces
@@ -158,8 +159,8 @@ def token_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT event_id, (token LIKE 'XHR Request|%' OR token LIKE 'networkRequest|%') AS is_request, (token LIKE 'XHR Request|%' OR token LIKE '%|resource=XHR') AS is_xhr, 'GET' AS method, regexp_extract(token, 'weak_host=([^|]*)', 1) AS host, 'https://' || regexp_extract(token, 'weak_host=([^|]*)', 1) || regexp_extract(token, 'weak_path=([^|]*)', 1) AS url FROM tok")
 def request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = request_details("token")
-    return _tokens(spark, sf_dir).select("event_id", is_request("token").alias("is_request"), is_xhr("token").alias("is_xhr"), d["method"].alias("method"), d["host"].alias("host"), d["url"].alias("url"))
+    d = F.col("d")
+    return once(_tokens(spark, sf_dir), d=request_details("token")).select("event_id", is_request("token").alias("is_request"), is_xhr("token", d).alias("is_xhr"), d["method"].alias("method"), d["host"].alias("host"), d["url"].alias("url"))
 
 
 @query("WITH w AS (SELECT user_id AS key, list_sort(list(DISTINCT event_type) FILTER (value > 80)) AS a, list_sort(list(DISTINCT event_type) FILTER (value <= 20)) AS b FROM events GROUP BY user_id) SELECT key, round(CASE WHEN coalesce(a, []) = coalesce(b, []) THEN 0.0 WHEN coalesce(len(a), 0) = 0 OR coalesce(len(b), 0) = 0 THEN 0.2 ELSE 0.05 + 0.15 * (1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) END, 6) AS penalty FROM w")

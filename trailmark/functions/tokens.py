@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import cookies
-from .common import any_of, blank_to_null, col, has_any
+from .common import any_of, blank_to_null, col, has_any, let, once
 from .urls import first_url, host, short_path, stack_source, url_category, weak_host
 
 
@@ -174,8 +174,9 @@ def with_tokens(events: DataFrame, event: str = "event", script_host: str = "scr
 
     Each step is a column of its own, so that no expression is worked out twice.
     """
-    own = events.withColumn("arg", event_argument(event)).withColumn("base", base_event(event, "arg")).where(F.col("base").isNotNull() & (F.col("base") != "consoleAPI"))
-    own = own.withColumn("_a", F.from_json("arg", FIELDS_SCHEMA)).withColumn("_url", F.coalesce(*(blank_to_null(F.col("_a")[k]) for k in K.URL_KEYS)))
+    own = once(once(events, arg=event_argument(event)), base=base_event(event, "arg")).where(F.col("base").isNotNull() & (F.col("base") != "consoleAPI"))
+    own = once(own, _a=F.from_json("arg", FIELDS_SCHEMA))
+    own = own.withColumn("_url", F.coalesce(*(blank_to_null(F.col("_a")[k]) for k in K.URL_KEYS)))
     own = own.withColumns({"_worker": F.coalesce(blank_to_null(F.col("_a.scriptURL")), F.col("_url")), "_tag": F.when(F.col("base") == "DOM Mutation", F.upper(member("_a.target", "tagName", "nodeName")))})
     return own.withColumns({"token": event_token("base", "_a", script_host, "_url", "_worker"), "capability": capability("base", F.col("_a.attribute"), "_tag")}).drop("_a", "_url", "_worker", "_tag")
 
@@ -225,15 +226,24 @@ def is_request(token: Column | str) -> Column:
 
 def request_details(token: Column | str) -> Column:
     """FN-36: struct(method, host, path, domain, resource, initiator, url) from a network token."""
-    pairs = F.transform(F.filter(F.transform(F.slice(F.split(col(token), r"\|"), 2, 10_000), lambda x: F.trim(x)), lambda p: p.rlike("[=:]")), lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, "^(.*?)[=:]", 1))).alias("k"), F.trim(F.regexp_replace(p, "^.*?[=:]", "")).alias("v")))
-    last = lambda k: blank_to_null(F.get(F.reverse(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])), F.lit(0)))
-    h, p, scheme = F.coalesce(last("weak_host"), last("host")), F.coalesce(last("weak_path"), last("path")), last("scheme")
-    start = F.when(F.endswith(scheme, F.lit("://")), scheme).when(scheme.isNotNull(), F.concat(scheme, F.lit("://"))).when(h.startswith("http"), "").otherwise("https://")
-    built = F.concat(start, h, F.when(p.isNull(), "").when(p.startswith("/") | F.endswith(h, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)))
-    return F.struct(F.upper(last("method")).alias("method"), h.alias("host"), p.alias("path"), F.coalesce(last("weak_domain"), last("domain")).alias("domain"), last("resource").alias("resource"), last("initiator").alias("initiator"), F.coalesce(last("url"), built, p).alias("url"))
+    parts_of = F.filter(F.transform(F.slice(F.split(col(token), r"\|"), 2, 10_000), lambda x: F.trim(x)), lambda p: p.rlike("[=:]"))
+    pairs = F.transform(parts_of, lambda p: let(F.least(*(F.when(F.instr(p, x) > 0, F.instr(p, x)) for x in "=:")), lambda at: F.struct(F.lower(F.trim(F.substr(p, F.lit(1), at - 1))).alias("k"), F.trim(F.substr(p, at + 1)).alias("v"))))
 
+    def said(own: Column) -> Column:
+        last = lambda k: blank_to_null(F.try_element_at(F.filter(own, lambda p: p["k"] == k), F.lit(-1))["v"])
+        return F.struct(*(last(k).alias(k) for k in ("method", "scheme", "resource", "initiator", "url")), *(F.coalesce(last(f"weak_{k}"), last(k)).alias(k) for k in ("host", "path", "domain")))
 
-def is_xhr(token: Column | str) -> Column:
-    """FLT-14: an XHR request, or a network request for an XHR resource."""
+    def built(x: Column) -> Column:
+        h, p, scheme = x["host"], x["path"], x["scheme"]
+        start = F.when(F.endswith(scheme, F.lit("://")), scheme).when(scheme.isNotNull(), F.concat(scheme, F.lit("://"))).when(h.startswith("http"), "").otherwise("https://")
+        url = F.concat(start, h, F.when(p.isNull(), "").when(p.startswith("/") | F.endswith(h, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)))
+        return F.struct(F.upper(x["method"]).alias("method"), h.alias("host"), p.alias("path"), x["domain"].alias("domain"), x["resource"].alias("resource"), x["initiator"].alias("initiator"), F.coalesce(x["url"], url, p).alias("url"))
+
+    return let(let(pairs, said), built)
+
+
+def is_xhr(token: Column | str, details: Column | None = None) -> Column:
+    """FLT-14: an XHR request, or a network request for an XHR resource; give request_details() if they are there already."""
+    d = request_details(token) if details is None else details
     b = F.lower(F.trim(base_of(token)))
-    return (b == "xhr request") | ((b == "networkrequest") & F.coalesce(F.lower(request_details(token)["resource"]) == "xhr", F.lit(False)))
+    return (b == "xhr request") | ((b == "networkrequest") & F.coalesce(F.lower(d["resource"]) == "xhr", F.lit(False)))
