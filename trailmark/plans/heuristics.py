@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.common import blank_to_null, has_any, said
+from ..functions.common import blank_to_null, has_any, once, said
 from ..functions.urls import host
 
 # what the rules read of a payload; each payload is parsed once
@@ -133,8 +133,8 @@ def hits(full_hosts: bool = False) -> Column:
 
 
 def detected(traces: DataFrame, full_hosts: bool = False) -> DataFrame:
-    own = traces.withColumn("_payloads", F.transform("payloads", lambda p: F.from_json(p, SCHEMA)))
-    return own.withColumn("heuristic_hits", hits(full_hosts)).drop("_payloads").withColumn("heuristic_names", F.transform("heuristic_hits", lambda x: x["name"]))
+    own = once(traces, _payloads=F.transform("payloads", lambda p: F.from_json(p, SCHEMA)))
+    return once(own, heuristic_hits=hits(full_hosts)).drop("_payloads").withColumn("heuristic_names", F.transform("heuristic_hits", lambda x: x["name"]))
 
 
 def platform_window(tokens: Column | str, first: int = 40, length: int = 12, probes: tuple[str, ...] = K.PLATFORM_PROBES) -> Column:
