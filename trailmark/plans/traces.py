@@ -62,7 +62,7 @@ def trace_rows(rows: DataFrame, key: str, order: list[str], token: str = "token"
 
     A trace is one record: its sequence is gathered in one row.
     """
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(token).alias("_t"), F.col(capability).alias("_c"))))
+    seq = F.sort_array(F.collect_list(F.struct(*order, F.col(token).alias("_t"), F.col(capability).alias("_c"))))
     own = rows.groupBy(key).agg(seq.alias("_s"))
     tokens_of, caps = F.transform("_s", lambda x: x["_t"]), F.transform("_s", lambda x: x["_c"])
     out = own.select(key, tokens_of.alias("event_sequence"), caps.alias("capability_sequence"))
